@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import topk
+from quillmark.llm import topk, urlfilter
 from quillmark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,11 @@ WITH v AS (
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
 """
+
+
+@_query
+def op3_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page's url: the longest listed rule's, else the model's."""
+    weights = urlfilter.trained(urlfilter.labelled_table(spark))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judged(pages, "url", weights).select("page_id", "host", "path", "rule", "verdict", "score")
