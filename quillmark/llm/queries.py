@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import topk, urlfilter
+from quillmark.llm import topk, urlfilter, warc
 from quillmark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,24 @@ def op3_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = urlfilter.trained(urlfilter.labelled_table(spark))
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.judged(pages, "url", weights).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+@_query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page archived as a WARC record and read back."""
+    found = warc.archived(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op9_warc"] = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(encode(coalesce(html, ''))) AS payload_digest
+  FROM pages WHERE page_id IS NOT NULL
+), m AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS newest FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN newest > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN newest > page_id THEN newest END AS refers_to
+FROM m
+"""
