@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import topk, urlfilter, warc
+from quillmark.llm import quality, store, topk, toxicity, urlfilter, warc
 from quillmark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,21 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN newest > page_id THEN newest END AS refers_to
 FROM m
 """
+
+
+@_query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, learned from the labels outside fold 1 of 3."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.trained(docs, labels.where(toxicity.fold(F.col("doc_id"), 3) != 1), "toxic")
+    found = toxicity.scored(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (toxicity.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@_query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document and whether base rules and learned cutoffs keep it."""
+    counts = store.saved(quality.counted(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")), "quality")
+    cutoffs = quality.thresholds(counts, table(spark, sf_dir, "labels"), "quality", "lang")
+    failed = quality.base_failed()
+    return counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~quality.rejected(cutoffs, "lang")).alias("kept"))

@@ -22,6 +22,10 @@ _LOWER[65:91] = _PLAIN[97:123]
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Everything in ASCII that is no letter: for words without the marks around them.
+LETTERS_ONLY = np.zeros(256, bool)
+LETTERS_ONLY[:128] = True
+LETTERS_ONLY[65:91] = LETTERS_ONLY[97:123] = False
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -80,12 +84,12 @@ class Texts:
         whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
         self.buf = whole[at[0] : at[-1]]
 
-    def words(self, lower: bool = True) -> "Words":
+    def words(self, lower: bool = True, between: np.ndarray = _SPACE) -> "Words":
         buf, n = self.buf, len(self.buf)
         if not n:
             none = np.zeros(0, np.int64)
             return Words(self, none, none, np.zeros(0, np.uint64))
-        inside = ~_SPACE[buf]
+        inside = ~between[buf]
         before = np.empty(n, bool)
         before[0] = False
         before[1:] = inside[:-1]
@@ -100,6 +104,20 @@ class Texts:
         del inside, before, after
         return Words(self, starts, ends, self.spans(starts, ends, lower))
 
+    def count(self, wanted: np.ndarray) -> np.ndarray:
+        """Bytes of each text that the table ``wanted`` of 256 marks."""
+        total = np.zeros(len(self.buf) + 1, np.int64)
+        np.cumsum(wanted[self.buf], out=total[1:])
+        return total[self.offsets[1:]] - total[self.offsets[:-1]]
+
+    def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, text number) of every \\n-split line."""
+        breaks = np.flatnonzero(self.buf == 10)
+        starts = np.sort(np.concatenate([self.offsets[:-1], breaks + 1]), kind="stable")
+        ends = np.sort(np.concatenate([breaks, self.offsets[1:]]), kind="stable")
+        per = np.bincount(np.searchsorted(self.offsets, breaks, "right") - 1, minlength=self.n) + 1
+        return starts, ends, np.repeat(np.arange(self.n), per)
+
     def spans(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
         """Hashes of ascending, disjoint byte ranges, window by window."""
         table = _LOWER if lower else _PLAIN
@@ -151,3 +169,14 @@ def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+def bytes_table(of: str) -> np.ndarray:
+    """A table of 256 that marks the ASCII characters in ``of``."""
+    table = np.zeros(256, bool)
+    table[list(of.encode())] = True
+    return table
+
+
+#: Bytes that begin a character other than ``[\x20\x09-\x0D]``: one for each code point in a word.
+WORD_CHARACTER = ~_SPACE & ((np.arange(256) & 0xC0) != 0x80)
