@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import quality, store, topk, toxicity, urlfilter, warc
+from quillmark.llm import packing, quality, store, topk, toxicity, urlfilter, warc
 from quillmark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +91,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     cutoffs = quality.thresholds(counts, table(spark, sf_dir, "labels"), "quality", "lang")
     failed = quality.base_failed()
     return counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~quality.rejected(cutoffs, "lang")).alias("kept"))
+
+
+@_query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences of at most 2048 tokens."""
+    found = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
