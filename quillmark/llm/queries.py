@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import packing, quality, store, topk, toxicity, urlfilter, warc
+from quillmark.llm import jaccard, packing, quality, store, topk, toxicity, urlfilter, warc
 from quillmark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences of at most 2048 tokens."""
     found = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@_query
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size of every document's shingle set and the group of documents it links with."""
+    found = jaccard.linked(table(spark, sf_dir, "documents"))
+    return found.select(F.col("key").alias("doc_id"), "n_shingles", "component_id")
