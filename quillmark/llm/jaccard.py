@@ -367,3 +367,12 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     named = least.groupBy("component").agg(F.min("least").alias("component_id"))
     by_set = least.join(named, "component").select("set", "component_id")
     return known.join(by_set, "set", "left").select("key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
+    """One document of each linked group, that with the least key; rows repeated whole count once.
+
+    Documents without a key belong to no group and stay.
+    """
+    extra = linked(docs.where(F.col(key).isNotNull()), key, text, **how).where(F.col("key") != F.col("component_id")).select(F.col("key").alias(key)).distinct()
+    return docs.join(extra, key, "left_anti").select(*[f"`{c}`" for c in docs.columns]).dropDuplicates([key, text])

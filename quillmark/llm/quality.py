@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.llm import store
 from quillmark.llm.text import WORD_CHARACTER, Texts, bytes_table, mix, slices
 
 _SYMBOLS, _BANG = bytes_table("#*$%&|<>"), bytes_table("!")
@@ -65,9 +66,12 @@ def _counts(texts: Texts) -> dict[str, np.ndarray]:
     }
 
 
-def counted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without its text, with COUNTS; columns of ``docs`` with such a name are replaced."""
-    kept = [f for f in docs.schema.fields if f.name not in (text, *COUNTS)]
+def counted(docs: DataFrame, text: str = "text", with_text: bool = False) -> DataFrame:
+    """``docs`` with COUNTS, and without its text unless asked for; columns named like a count are replaced.
+
+    A null text counts as empty; texts are taken whole, repeated rows alike.
+    """
+    kept = [f for f in docs.schema.fields if f.name not in COUNTS and (with_text or f.name != text)]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{c} long" for c in COUNTS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +79,7 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
             made = counts_of(batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(made[c]) for c in COUNTS)], [*(f.name for f in kept), *COUNTS])
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept], text).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
 
 
 def base_failed() -> Column:
@@ -180,3 +184,14 @@ def rejected(cutoffs: dict[tuple[str, str], int], stratum: str) -> Column:
     for (s, rule), at in sorted(cutoffs.items()):
         made = made | ((own == s) & (rules()[rule] >= at))
     return made
+
+
+def filtered(docs: DataFrame, labels: DataFrame, label: str, stratum: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that pass the base rules and the learned cutoffs, with their own columns.
+
+    Columns must not be named like one of COUNTS.
+    """
+    counts = store.saved(counted(docs.select(key, stratum, text), text), "quality")
+    cutoffs = thresholds(counts, labels, label, stratum, key)
+    store.dropped(counts)
+    return counted(docs, text, with_text=True).where(~base_failed() & ~rejected(cutoffs, stratum)).select(*[f"`{c}`" for c in docs.columns])

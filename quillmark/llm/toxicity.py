@@ -142,6 +142,17 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "t
     return docs.select(*[F.col(f"`{f.name}`") for f in kept], text).mapInArrow(run, f"{schema}, `{name}` double")
 
 
+def filtered(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text", cut: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score below ``cut``, with all their columns."""
+    find = scorer(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(find(batch.column(text)) < cut))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(key: Column, folds: int) -> Column:
     """crc32 of the key as text, modulo ``folds``."""
     return F.crc32(key.cast("string").cast("binary")) % folds
