@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import jaccard, packing, quality, store, topk, toxicity, urlfilter, warc
+from quillmark.llm import bpe, jaccard, packing, quality, store, topk, toxicity, urlfilter, warc
 from quillmark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,11 @@ def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The size of every document's shingle set and the group of documents it links with."""
     found = jaccard.linked(table(spark, sf_dir, "documents"))
     return found.select(F.col("key").alias("doc_id"), "n_shingles", "component_id")
+
+
+@_query
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's byte-level BPE ids and of the bytes they decode to."""
+    found = bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -12,9 +12,12 @@ from quillmark.llm.text import Texts
 class UnitIds:
     """Ids of byte ranges, kept by a 64-bit hash; ``encode`` turns new ranges' texts into id arrays.
 
-    At most ``most`` units are kept between calls, so a worker's memory is bounded.
+    Between calls it keeps what fits ``most`` units and LARGE ids, so a worker's
+    memory is bounded.
     """
 
+    LARGE = 16_000_000
+
     def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]], most: int = 400_000):
         self.encode, self.most = encode, most
         self._clear()
@@ -28,7 +31,7 @@ class UnitIds:
     def look_up(self, texts: Texts, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """Row numbers of the ranges in ``at`` and ``size``; they hold until the next call."""
         distinct, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.hash) > self.most:
+        if len(self.hash) > self.most or len(self.flat) > self.LARGE:
             self._clear()
         at = np.searchsorted(self.hash, distinct)
         known = np.zeros(len(distinct), bool)
