@@ -12,6 +12,7 @@ work on any file system that Spark knows.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -165,13 +166,13 @@ def archived(pages: DataFrame, key: str, url: str, payload: str, least: int = LE
             yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
 
     path = store.scratch(pages.sparkSession, "warc")
-    ready.mapInArrow(convert, "value string").write.option("lineSep", END).text(path)
+    ready.mapInArrow(convert, "value string").write.option("lineSep", END).option("compression", "gzip").text(path)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
                 rows, held = [], 0
-                for head, block in warc_records(data.as_py()):
+                for head, block in warc_records(gzip.decompress(data.as_py())):
                     whole = head["WARC-Type"] == "response"
                     refers = head.get("WARC-Refers-To")
                     rows.append((record_key(head["WARC-Record-ID"]), head["WARC-Target-URI"], int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"], refers and record_key(refers), block.decode() if whole else None))
@@ -183,7 +184,7 @@ def archived(pages: DataFrame, key: str, url: str, payload: str, least: int = LE
                         rows, held = [], 0
                 yield _rows(rows)
 
-    files = pages.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    files = pages.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path)
     return files.select("content").mapInArrow(parse, "key long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string")
 
 
