@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import bpe, hmm, jaccard, packing, quality, store, topk, toxicity, urlfilter, warc
+from quillmark.llm import bpe, hmm, html, jaccard, packing, quality, store, topk, toxicity, urlfilter, warc
 from quillmark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and hidden Markov scores of every document, learned outside fold 2 of 7."""
     return hmm.scored(table(spark, sf_dir, "documents"), toxicity.fold(F.col("doc_id"), 7) == 2)
+
+
+@_query
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = html.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"), html.trained())
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
