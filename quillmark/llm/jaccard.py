@@ -2,13 +2,16 @@
 
 Texts become sets of hashed word shingles, in one global order: rare shingles
 first, as told by a fixed-size table of counts over all texts, then by hash. Sets
-that reach the threshold share a shingle among their first |x| - ceil(t |x|) + 1,
-so only those are dealt out, by shingle.
-
-The groups that share one are joined in two rounds. The first links each list to a
-few of its members; what is linked becomes one component. The second takes, from
-the same lists, every pair of sets that are still in different components and that
-their lengths and positions allow, so no link between components can be missed.
+that reach the threshold share l shingles among their first |x| - ceil(t |x|) + l,
+so only those are dealt out, by shingle; l grows with the set, which tells sets that
+share a passage from near copies before any set travels.
+
+The groups that share one are joined in rounds. In each of the first, every list
+names a hub, and its members are compared with the hub alone; what is linked
+becomes one component. The last takes, from the same lists, every pair of sets that
+are still in different components, of fitting lengths and with enough lists in
+common, so no link between components can be missed. Before that, every set leaves
+half of l of its longest lists: pairs that share l lists still meet in the rest.
 Pairs are verified in blocks: a block's sets stand in a prefix tree, and each query
 set walks it, carrying the overlap of shared prefixes down and leaving a subtree
 when what remains on either side is too short.
@@ -16,6 +19,7 @@ when what remains on either side is too short.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm import store
@@ -32,6 +36,10 @@ from quillmark.llm.text import Texts, mix, shingle_sets, slices
 
 #: The table of counts: 2**CELLS counters, in rows of 2**ROW.
 CELLS, ROW = 21, 15
+#: One in so many shingles of a set must recur in a candidate's beginning.
+SHARE = 16
+#: Rounds with hubs: first the sets that share most shingles, then others.
+HUB_ROUNDS = 2
 #: Members that one hub is compared with in one block, and postings of one list in one block.
 HUB_ROWS, LIST_ROWS = 512, 1 << 19
 #: Postings in one block of lists, and sets in one block of pairs.
@@ -106,7 +114,8 @@ def documents_of(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
 
 def levels_of(counts: np.ndarray) -> tuple[np.ndarray, int]:
     """A coarse rank of every counter, 0 for the ordinary, and the count at which rank 1 begins."""
-    base = int(4 * counts.mean() + 64)
+    mean = counts.mean()
+    base = int(mean + 8 * np.sqrt(mean) + 16)
     return np.where(counts < base, 0, 1 + np.floor(np.log2(np.maximum(counts, base) / base))).astype(np.uint8), base
 
 
@@ -122,8 +131,12 @@ class Threshold:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
 
+    def needed(self, n: int) -> int:
+        """Shingles that the beginnings of a set of n and of a larger set must share: 1 in SHARE, at least 1."""
+        return max(1, n // SHARE)
+
     def prefix(self, n: int) -> int:
-        return n - -(-self.num * n // self.den) + 1
+        return n - -(-self.num * n // self.den) + self.needed(n)
 
     def met(self, overlap: int, a: int, b: int) -> bool:
         return self.den * overlap >= self.num * (a + b - overlap)
@@ -167,10 +180,9 @@ def postings(docs: DataFrame, key: str, text: str, k: int, t: Threshold, counts:
         made["token"] = np.concatenate([x[0] for x in held])
         made["set"] = np.repeat(np.array([x[1] for x in held], np.int64), size)
         made["n"] = np.repeat([x[2] for x in held], size)
-        made["at"] = np.arange(len(made)) - np.repeat(np.cumsum(size) - size, size)
         level = levels[(made["token"] & np.uint64((1 << CELLS) - 1)).astype(np.int64)]
         parts = spread[level]
-        made["parts"] = np.minimum(parts, 1 << 30)
+        made["split"] = parts > 1
         salt = mix(made["set"].astype(np.uint64)) % parts.astype(np.uint64)
         block = (mix(made["token"] + salt) % np.uint64(blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")
@@ -182,46 +194,78 @@ def postings(docs: DataFrame, key: str, text: str, k: int, t: Threshold, counts:
     return docs.select(text).mapInArrow(run, "block int, rows binary")
 
 
-POSTING = np.dtype([("token", "u8"), ("set", "i8"), ("n", "u4"), ("at", "u4"), ("parts", "u4")])
-
+POSTING = np.dtype([("token", "u8"), ("set", "i8"), ("n", "u4"), ("split", "u1")])
 
-def lists_of(dealt: DataFrame, t: Threshold) -> DataFrame:
-    """Saved rows: kind 0, pairs (a, b) of a list's hubs and members; kind 1, the lists themselves.
 
-    Kind 2 are the hubs of lists that stand in several blocks. Lists of one set are
-    left out; hubs are the least set and the least by another hash, by the token's
-    lowest bit, so that a family of near copies has two.
-    """
+def lists_of(dealt: DataFrame) -> DataFrame:
+    """Saved rows (token, own, n): the sets of every list of two or more; lists of one set are left out."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = np.concatenate([np.frombuffer(x, POSTING) for x in pdf["rows"]])
-        other = mix(rows["set"].astype(np.uint64) + np.uint64(77))
-        rank = np.where(rows["token"] & np.uint64(1), rows["set"].astype(np.uint64), other)
-        rows = rows[np.lexsort((rank, rows["token"]))]
+        rows = rows[np.lexsort((rows["set"], rows["token"]))]
         same = np.zeros(len(rows), bool)
         same[1:] = (rows["token"][1:] == rows["token"][:-1]) & (rows["set"][1:] == rows["set"][:-1])
         rows = rows[~same]
         first = np.flatnonzero(np.r_[True, rows["token"][1:] != rows["token"][:-1]])
         size = np.diff(np.r_[first, len(rows)])
-        hub = np.repeat(first, size)
-        long = np.repeat(size, size) > 1
-        split = rows["parts"] > 1
-        kept = rows[long | split]
-        member = long & (np.arange(len(rows)) != hub)
-        a, b = rows[hub[member]], rows[member]
-        fits = (t.den * np.minimum(a["n"], b["n"]).astype(np.int64) >= t.num * np.maximum(a["n"], b["n"]).astype(np.int64))
-        pairs = np.unique(np.stack([a["set"][fits], b["set"][fits]], axis=1), axis=0) if fits.any() else np.zeros((0, 2), np.int64)
-        heads = rows[first[split[first]]]
-        n = [len(pairs), len(kept), len(heads)]
-        zero = lambda k: np.zeros(k, np.int64)
-        return pd.DataFrame({
-            "kind": np.repeat([0, 1, 2], n).astype(np.int32),
-            "a": np.concatenate([pairs[:, 0], kept["token"].astype(np.int64), heads["token"].astype(np.int64)]),
-            "b": np.concatenate([pairs[:, 1], kept["set"], heads["set"]]),
-            "n": np.concatenate([zero(n[0]), kept["n"].astype(np.int64), heads["n"].astype(np.int64)]),
-            "at": np.concatenate([zero(n[0]), kept["at"].astype(np.int64), zero(n[2])]),
-        })
-
-    return store.saved(dealt.groupBy("block").applyInPandas(run, "kind int, a long, b long, n long, at long"), "lists")
+        kept = rows[(np.repeat(size, size) > 1) | (rows["split"] > 0)]
+        return pd.DataFrame({"token": kept["token"].astype(np.int64), "own": kept["set"], "n": kept["n"].astype(np.int64)})
+
+    return store.saved(dealt.groupBy("block").applyInPandas(run, "token long, own long, n long"), "lists")
+
+
+def needed(n: Column) -> Column:
+    """``Threshold.needed`` of a size as a column."""
+    return F.greatest(F.lit(1), F.floor(n / SHARE)).cast("long")
+
+
+def thinned(lists: DataFrame) -> DataFrame:
+    """Saved rows (token, own, n, degree) without each set's longest lists: half of what it needs, rounded down.
+
+    In the order of list length, what a set leaves out of the shingles that it
+    shares with another are the last of them; so a pair that shares l of them keeps
+    l less the larger of the two numbers left out.
+    """
+    long = lists.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
+    rows = lists.join(long, "token")
+    place = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("size"), "token"))
+    rows = rows.withColumn("place", place).where(F.col("place") > F.floor(needed(F.col("n")) / 2))
+    return store.saved(rows.withColumn("degree", F.count("*").over(Window.partitionBy("own"))).select("token", "own", "n", "degree"), "thin")
+
+
+def enough(times: Column, small: Column, large: Column) -> Column:
+    """Whether sets of such sizes share enough of their remaining lists to be compared."""
+    return times >= F.greatest(F.lit(1), needed(small) - F.floor(needed(large) / 2))
+
+
+def with_components(rows: DataFrame, grouped: DataFrame | None) -> DataFrame:
+    """``rows`` of lists whose sets are in more than one component, with the component of each."""
+    if grouped is None:
+        return rows.withColumn("component", F.col("own"))
+    rows = rows.join(grouped.select(F.col("node").alias("own"), "component"), "own", "left").withColumn("component", F.coalesce("component", "own"))
+    mixed = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+    return rows.join(mixed, "token")
+
+
+def hub_pairs(rows: DataFrame, t: Threshold, number: int) -> DataFrame:
+    """Pairs (a, b) of each list's hub and its members from other components that meet often enough.
+
+    A list has one hub, so there are at most as many rows as postings.
+    """
+    rank = F.struct(F.when(F.lit(number == 0), F.col("degree")).otherwise(F.lit(0)).alias("degree"), F.xxhash64("own", F.lit(number)).alias("r"), F.col("own").alias("a"), F.col("n").alias("m"), F.col("component").alias("c"))
+    hubs = rows.groupBy("token").agg(F.max(rank).alias("h")).select("token", "h.a", "h.m", "h.c")
+    met = rows.join(hubs, "token").where((F.col("component") != F.col("c")) & (t.den * F.least("n", "m") >= t.num * F.greatest("n", "m")))
+    met = met.groupBy("a", F.col("own").alias("b")).agg(F.count("*").alias("times"), F.first(F.least("n", "m")).alias("n"), F.first(F.greatest("n", "m")).alias("m"))
+    return met.where(enough(2 * F.col("times"), F.col("n"), F.col("m"))).select("a", "b")
+
+
+def open_pairs(rows: DataFrame, t: Threshold) -> DataFrame:
+    """Every pair (a, b) of sets in different components that fit in size and share enough lists."""
+    x, y = rows.alias("x"), rows.alias("y")
+    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+    allowed = (F.col("x.own") < F.col("y.own")) & (F.col("x.component") != F.col("y.component")) & (t.den * small >= t.num * large)
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & allowed).groupBy(F.col("x.own").alias("a"), F.col("y.own").alias("b"))
+    met = met.agg(F.count("*").alias("times"), F.first(small).alias("n"), F.first(large).alias("m"))
+    return met.where(enough(F.col("times"), F.col("n"), F.col("m"))).select("a", "b")
 
 
 class PrefixTree:
@@ -276,11 +320,13 @@ def verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, key: str, text
     sets in some pair travel.
     """
     spark = docs.sparkSession
-    pairs = store.saved(pairs, "pairs")
+    pairs = pairs_saved = store.saved(pairs, "pairs")
     hubs = pairs.groupBy("a").agg(F.count("*").alias("members"))
-    number = max(store.parallelism(spark), pairs.count() // BLOCK_SETS)
+    # Blocks form a grid, so a set with many partners stands in few of them; a hub's members are spread by salts.
+    side = math.ceil(math.sqrt(max(store.parallelism(spark), pairs.count() // BLOCK_SETS)))
     spread = F.greatest(F.lit(1), F.ceil(F.col("members") / HUB_ROWS))
-    pairs = pairs.join(hubs, "a").select(F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), spread)), F.lit(number)).cast("int").alias("block"), "a", "b")
+    row, column = F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), spread)), F.lit(side)), F.pmod(F.xxhash64("b"), F.lit(side))
+    pairs = pairs.join(hubs, "a").select((row * side + column).cast("int").alias("block"), "a", "b")
     wanted = pairs.select("block", F.explode(F.array("a", "b")).alias("set")).distinct()
     chosen = known.groupBy("set").agg(F.min("key").alias("key")).join(wanted.select("set").distinct(), "set")
     chosen = store.saved(chosen, "chosen")
@@ -326,6 +372,7 @@ def verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, key: str, text
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     out = store.saved(blocks.applyInPandas(run, "a long, b long"), "links")
+    store.dropped(pairs_saved, chosen)
     return out
 
 
@@ -344,25 +391,22 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     known = saved.where("n is not null").select("key", "n", "set")
     held = known.where("`set` is not null")
     blocks = max(store.parallelism(docs.sparkSession), int(counts.sum()) * (den - num) // den // BLOCK_POSTINGS)
-    lists = lists_of(postings(docs, key, text, k, t, counts, blocks), t)
-
-    heads = lists.where("kind = 2").select(F.col("a").alias("token"), F.col("b").alias("own"))
-    heads = heads.join(heads.groupBy("token").agg(F.min("own").alias("hub")), "token").where("own <> hub")
-    pairs = lists.where("kind = 0").select("a", "b").unionByName(heads.select(F.col("hub").alias("a"), F.col("own").alias("b"))).distinct()
-    links = verified(pairs, docs, held, key, text, k, t)
-    grouped = store.saved(components(links), "components")
-
-    rows = lists.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("own"), "n", "at").join(grouped.select(F.col("node").alias("own"), F.col("component")), "own", "left")
-    rows = rows.withColumn("component", F.coalesce("component", "own"))
-    open_lists = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    rows = store.saved(rows.join(open_lists, "token"), "open")
-    x, y = rows.alias("x"), rows.alias("y")
-    left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))  # at most so many shingles are shared from here on
-    allowed = (F.col("x.own") < F.col("y.own")) & (F.col("x.component") != F.col("y.component")) & (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n")) & ((num + den) * left >= num * (F.col("x.n") + F.col("y.n")))
-    more = x.join(y, (F.col("x.token") == F.col("y.token")) & allowed).select(F.col("x.own").alias("a"), F.col("y.own").alias("b")).distinct()
-    found = verified(more, docs, held, key, text, k, t)
-    final = components(found.unionByName(grouped.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-
+    lists = lists_of(postings(docs, key, text, k, t, counts, blocks))
+    thin = thinned(lists)
+    store.dropped(lists)
+    store.tidy(docs.sparkSession)
+    grouped = None
+    for number in range(HUB_ROUNDS + 1):
+        rows = store.saved(with_components(thin, grouped), "open")
+        pairs = hub_pairs(rows, t, number) if number < HUB_ROUNDS else open_pairs(rows, t)
+        links = verified(pairs, docs, held, key, text, k, t)
+        store.dropped(rows)
+        if grouped is not None:
+            links = links.unionByName(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        grouped = store.saved(components(links), "components")
+        store.tidy(docs.sparkSession)
+
+    final = grouped
     least = held.groupBy("set").agg(F.min("key").alias("least")).join(final.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     named = least.groupBy("component").agg(F.min("least").alias("component_id"))
     by_set = least.join(named, "component").select("set", "component_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,3 +53,13 @@ def remove(spark: SparkSession, path: str) -> None:
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions of the session: what hash-dealt groups are sized by."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let the driver's cleaner drop the shuffle files of plans that are done with.
+
+    Spark frees them when their plans are collected as garbage, which a driver with
+    a large heap may not do for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
