@@ -10,7 +10,9 @@ queue yields in constant time.
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from quillmark.llm.text import Texts, bytes_table, slices
+from quillmark.llm.text import Texts, bytes_table, mix, slices
 from quillmark.llm.units import UnitIds
 
 SIZE = 2048
@@ -26,21 +28,46 @@ END_ID = 1
 #: Costs of a cut, in tokens of padding: after a sentence, and inside one.
 SENTENCE_CUT, HARD_CUT = 8, 48
 #: Cuts inside sentences are tried at multiples of this.
-GRID = 128
+GRID = 256
+#: Unpadded windows inside a block are tried from 2**LEAST_POWER tokens on.
+LEAST_POWER = 7
 _STOP = bytes_table(".!?")
 _made: dict[str, UnitIds] = {}
+#: Letters of which lower case and composed form are one character each, in any implementation.
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-įıĲ-ɏ]+").fullmatch
+#: Byte-level vocabularies write printable bytes as themselves and the others from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LEVEL = dict(zip([b for b in range(256) if b not in _PRINTABLE], range(256, 512)))
 
 
 def word_ids(path: str) -> UnitIds:
-    """The tokenizer's ids of words; no token of it spans the white space between words."""
+    """The tokenizer's ids of words and of parts of words; no token of it spans two of them.
+
+    It must lower-case, split runs of letters off, and map bytes to characters as
+    byte-level vocabularies do.
+    """
     if path not in _made:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-
-        def encode(words: list[bytes]) -> list[np.ndarray]:
-            return [np.array(x.ids, np.int32) for x in tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+        merge = tokenizer.model.tokenize
+
+        def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            ids, rest = [], []
+            for i, raw in enumerate(words):
+                # A run of letters that normalisation leaves alone goes straight to the merges.
+                if raw.isalpha():
+                    ids.append([x.id for x in merge(raw.lower().decode())])
+                elif _LATIN(word := raw.decode()):
+                    ids.append([x.id for x in merge(word.lower().encode().decode("latin-1").translate(_BYTE_LEVEL))])
+                else:
+                    ids.append(None)
+                    rest.append((i, word))
+            for (i, _), made in zip(rest, tokenizer.encode_batch([w for _, w in rest], add_special_tokens=False), strict=True):
+                ids[i] = made.ids
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            return np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(size.sum())), size
 
         _made[path] = UnitIds(encode)
     return _made[path]
@@ -55,7 +82,7 @@ def cuts(places: np.ndarray, costs: np.ndarray, size: int = SIZE) -> list[int]:
     at, extra = places.tolist(), costs.tolist()
     last = len(at) - 1
     earlier: list[list[int]] = [[] for _ in at]
-    for k in range(int(size).bit_length() - 1):
+    for k in range(LEAST_POWER, int(size).bit_length() - 1):
         found = np.searchsorted(places, places - (1 << k))
         for j in np.flatnonzero((places[np.minimum(found, last)] == places - (1 << k)) & (places >= 1 << k)).tolist():
             earlier[j].append(int(found[j]))
@@ -96,16 +123,23 @@ def cuts(places: np.ndarray, costs: np.ndarray, size: int = SIZE) -> list[int]:
 
 
 def _block(texts: Texts, units: UnitIds, end_id: int, size: int) -> dict[str, np.ndarray]:
-    words = texts.words(lower=False)
-    rows = units.look_up(texts, words.starts, words.ends, words.hashes)
-    lengths = np.insert(units.size[rows], words.first[1:], 1)
+    words = texts.words(lower=True)
+    parted = words.tails()
+    starts, word_ends = np.sort(np.concatenate([words.starts, parted])), np.sort(np.concatenate([words.ends, parted]))
+    first = np.searchsorted(starts, texts.offsets)
+    hashes = texts.spans(starts, word_ends, lower=True)
+    angled = np.concatenate([[0], np.cumsum(texts.buf == 60)])
+    own = np.flatnonzero(angled[word_ends] > angled[starts])  # special tokens, which case may tell apart
+    hashes[own] = mix(texts.spans(starts[own], word_ends[own]) + np.uint64(1))
+    rows = units.look_up(texts, starts, word_ends, hashes)
+    lengths = np.insert(units.size[rows], first[1:], 1)
     ends = np.cumsum(lengths)  # of words, and of the id that closes each document
-    doc_end = ends[words.first[1:] + np.arange(texts.n)]
+    doc_end = ends[first[1:] + np.arange(texts.n)]
     ids = np.empty(int(ends[-1]), np.uint32)
     closing = np.zeros(len(ids), bool)
     closing[doc_end - 1] = True
     ids[closing], ids[~closing] = end_id, units.ids(rows)
-    stop = np.insert(_STOP[texts.buf[words.ends - 1]] if len(rows) else np.zeros(0, bool), words.first[1:], False)
+    stop = np.insert(_STOP[texts.buf[word_ends - 1]] if len(rows) else np.zeros(0, bool), first[1:], False)
     places = np.unique(np.concatenate([[0], doc_end, ends[stop], np.arange(GRID, len(ids), GRID)]))
     costs = np.full(len(places), HARD_CUT)
     costs[np.searchsorted(places, ends[stop])] = SENTENCE_CUT

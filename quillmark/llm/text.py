@@ -26,6 +26,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 LETTERS_ONLY = np.zeros(256, bool)
 LETTERS_ONLY[:128] = True
 LETTERS_ONLY[65:91] = LETTERS_ONLY[97:123] = False
+_TAIL = np.zeros(256, bool)
+_TAIL[list(b".,!?;:%&*#$")] = True
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -144,6 +146,21 @@ class Words:
         """The text's number, for every word."""
         return np.repeat(np.arange(self.texts.n), self.counts)
 
+    def tails(self) -> np.ndarray:
+        """Where words part into an ASCII letter and the marks after it that end them, ascending.
+
+        Patterns that keep runs of letters apart from runs of marks part there too.
+        The marks leave out the apostrophe and the brackets of special tokens.
+        """
+        if not len(self.starts):
+            return self.starts
+        buf = self.texts.buf
+        kept = np.where(_TAIL[buf], 0, np.arange(len(buf)))
+        body = np.maximum.accumulate(kept)[self.ends - 1] + 1
+        parted = (body < self.ends) & (body > self.starts)
+        parted[parted] = ~LETTERS_ONLY[buf[body[parted] - 1]] & (buf[body[parted] - 1] < 128)
+        return body[parted]
+
     def grams(self, k: int) -> np.ndarray:
         """Hash of the k words from each position on; runs past a text's end are for the caller to skip."""
         h = self.hashes

@@ -10,15 +10,18 @@ from quillmark.llm.text import Texts
 
 
 class UnitIds:
-    """Ids of byte ranges, kept by a 64-bit hash; ``encode`` turns new ranges' texts into id arrays.
+    """Ids of byte ranges, kept by a 64-bit hash.
+
+    ``encode`` turns the texts of new ranges into their ids, one after another, and
+    the number of ids of each.
 
     Between calls it keeps what fits ``most`` units and LARGE ids, so a worker's
     memory is bounded.
     """
 
-    LARGE = 16_000_000
+    LARGE = 24_000_000
 
-    def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]], most: int = 400_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 400_000):
         self.encode, self.most = encode, most
         self._clear()
 
@@ -40,13 +43,12 @@ class UnitIds:
         if not known.all():
             own = first[~known]
             data = texts.buf.data
-            made = self.encode([bytes(data[a:b]) for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)])
-            size = np.fromiter(map(len, made), np.int64, len(made))
+            made, size = self.encode([bytes(data[a:b]) for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)])
             order = np.argsort(np.concatenate([self.hash, distinct[~known]]), kind="stable")
             self.hash = np.concatenate([self.hash, distinct[~known]])[order]
             self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size])[order]
             self.size = np.concatenate([self.size, size])[order]
-            self.flat = np.concatenate([self.flat, *made]) if made else self.flat
+            self.flat = np.concatenate([self.flat, made])
             at = np.searchsorted(self.hash, distinct)
         return at[kind]
 
