@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillmark.llm.text import Texts, mix, slices
-from quillmark.llm.units import UnitIds
+from quillmark.llm.units import UnitIds, gathered
 
 #: Matches in one DuckDB query, and matches remembered by a worker.
-CHUNK, REMEMBERED = 20_000, 250_000
+CHUNK, REMEMBERED = 20_000, 500_000
 
 _ENCODE = """
 WITH RECURSIVE word(w, tokens, n) AS (
@@ -63,7 +63,11 @@ class Codec:
         self._table("merges", dict(zip("l r made".split(), np.array(merges, np.int32).T, strict=True)))
         self._table("vocabulary", {"id": np.fromiter(self.ranks.values(), np.int32), "piece": pa.array(self.ranks, pa.binary())})
         self.byte = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
-        self.known: dict[bytes, tuple[np.ndarray, bytes]] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def _table(self, name: str, columns: dict) -> None:
         held = pa.table({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
@@ -71,45 +75,51 @@ class Codec:
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM held")
         self.db.unregister("held")
 
-    def _rows(self, name: str, matches: list[np.ndarray], column: str = "t") -> None:
-        size = np.fromiter(map(len, matches), np.int64, len(matches))
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        self._table(name, {"w": np.repeat(np.arange(len(matches), dtype=np.int32), size), "p": at.astype(np.int32), column: np.concatenate(matches).astype(np.int32)})
+    def _rows(self, name: str, flat: np.ndarray, size: np.ndarray) -> None:
+        at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        self._table(name, {"w": np.repeat(np.arange(len(size), dtype=np.int32), size), "p": at.astype(np.int32), "t": flat.astype(np.int32)})
 
-    def learn(self, matches: list[bytes]) -> None:
-        """Ids and decoded bytes of matches that are not remembered."""
+    def learn(self, matches: list[str]) -> None:
+        """Remember each match as its ids and then its decoded bytes, negated less one, in one array."""
         for i in range(0, len(matches), CHUNK):
             part = matches[i : i + CHUNK]
-            ids: list[np.ndarray] = [np.zeros(0, np.int32)] * len(part)
-            merged = []
-            for j, x in enumerate(part):
-                if x in self.ranks:  # a match that is a token is that token
-                    ids[j] = np.array([self.ranks[x]], np.int32)
-                else:
-                    merged.append(j)
-            if merged:
-                self._rows("start", [self.byte[np.frombuffer(part[j], np.uint8)] for j in merged])
-                made = self.db.execute(_ENCODE).to_arrow_table().column("ids").combine_chunks()
-                flat, at = made.flatten().to_numpy(), np.asarray(made.offsets)
-                for k, j in enumerate(merged):
-                    ids[j] = flat[at[k] - at[0] : at[k + 1] - at[0]]
-            self._rows("given", ids)
-            back = self.db.execute(_DECODE).to_arrow_table().column("piece").to_pylist()
-            self.known.update(zip(part, zip(ids, back, strict=True), strict=True))
-
-    def encode(self, units: list[bytes]) -> list[np.ndarray]:
-        """Each unit's ids, then its decoded bytes negated less one: one array that the unit table can keep."""
-        found = [[x.encode() for x in self.find(u.decode())] for u in units]
+            raw = [x.encode() for x in part]
+            whole = np.fromiter((self.ranks.get(x, -1) for x in raw), np.int32, len(raw))
+            merged = np.flatnonzero(whole < 0)  # a match that is a token is that token
+            count = np.ones(len(raw), np.int64)
+            made = np.zeros(0, np.int32)
+            if len(merged):
+                own = [raw[j] for j in merged]
+                self._rows("start", self.byte[np.frombuffer(b"".join(own), np.uint8)], np.fromiter(map(len, own), np.int64, len(own)))
+                found = self.db.execute(_ENCODE).to_arrow_table().column("ids").combine_chunks()
+                made, count[merged] = found.flatten().to_numpy(), np.diff(np.asarray(found.offsets))
+            ids = np.empty(int(count.sum()), np.int32)
+            split = np.repeat(whole < 0, count)
+            ids[split], ids[~split] = made, whole[whole >= 0]
+            self._rows("given", ids, count)
+            back = self.db.execute(_DECODE).to_arrow_table().column("piece").combine_chunks().cast(pa.large_binary())
+            _, at, data = back.buffers()
+            bounds = np.frombuffer(at, np.int64)[back.offset : back.offset + len(back) + 1]
+            decoded = -1 - np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]].astype(np.int32)
+            both = np.empty(len(ids) + len(decoded), np.int32)
+            sizes = np.stack([count, np.diff(bounds)], axis=1)
+            first = np.repeat(np.tile([True, False], len(part)), sizes.ravel())
+            both[first], both[~first] = ids, decoded
+            held = len(self.known)
+            self.known.update(zip(part, range(held, held + len(part)), strict=True))
+            self.flat, self.size = np.concatenate([self.flat, both]), np.concatenate([self.size, sizes.sum(axis=1)])
+
+    def encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and decoded bytes (see ``learn``) of the units' matches, and the length of each unit's."""
+        found = [self.find(u.decode()) for u in units]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        if fresh := list({x: None for xs in found for x in xs if x not in self.known}):
+            self._clear()
+        known = self.known
+        if fresh := list({x: None for xs in found for x in xs if x not in known}):
             self.learn(fresh)
-        out = []
-        for xs in found:
-            got = [self.known[x] for x in xs]
-            decoded = np.frombuffer(b"".join(g[1] for g in got), np.uint8).astype(np.int32)
-            out.append(np.concatenate([*(g[0] for g in got), -1 - decoded]) if got else np.zeros(0, np.int32))
-        return out
+        rows = np.fromiter((known[x] for xs in found for x in xs), np.int64)
+        ends = np.concatenate([[0], np.cumsum(self.size[rows])])[np.cumsum([0, *map(len, found)])]
+        return gathered(self.flat, (np.cumsum(self.size) - self.size)[rows], self.size[rows]), np.diff(ends)
 
 
 _made: dict[tuple[str, str], tuple[Codec, UnitIds]] = {}
@@ -118,7 +128,7 @@ _made: dict[tuple[str, str], tuple[Codec, UnitIds]] = {}
 def codec(ranks_path: str, pattern: str) -> UnitIds:
     if (ranks_path, pattern) not in _made:
         own = Codec(ranks_path, pattern)
-        _made[ranks_path, pattern] = own, UnitIds(own.encode, 300_000)
+        _made[ranks_path, pattern] = own, UnitIds(own.encode, 800_000)
     return _made[ranks_path, pattern][1]
 
 
@@ -137,8 +147,8 @@ def units_of(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     """(start, end) of units, ascending and covering all bytes.
 
     White space before a word gives its last character to the word if that is a
-    space; else that character is a unit. What comes before it is one, and so is
-    white space at a text's end.
+    space; else that character is a unit. What comes before it is one, and so are
+    white space at a text's end, and the marks that end a word after a letter.
     """
     words = texts.words(lower=False)
     doc = words.doc()
@@ -149,7 +159,7 @@ def units_of(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     spaced = np.zeros(len(doc), bool)
     spaced[gap > 0] = texts.buf[words.starts[gap > 0] - 1] == 32
     last = words.starts - (gap > 0)
-    bounds = [texts.offsets, words.ends, np.where(spaced, last, words.starts), last]
+    bounds = [texts.offsets, words.ends, words.tails(), np.where(spaced, last, words.starts), last]
     bounds = np.unique(np.concatenate(bounds))
     whole = _wide_space(texts)
     if whole.any():
