@@ -18,6 +18,7 @@ recursion over whole texts.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,8 +114,10 @@ def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(own.tobytes())]).cast(pa.binary())
 
 
-def totals_of(rows: DataFrame) -> DataFrame:
-    """Saved: the training counts of each chunk's words (chunk, bucket, counts), and each bucket's classes (c, v)."""
+def totals_of(rows: DataFrame, buckets: int) -> DataFrame:
+    """Saved: the training counts of each chunk's words (chunk, bucket, counts), and each bucket's classes (part, c, v)."""
+    groups = math.isqrt(buckets)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [np.frombuffer(x, WORD) for x in pdf["words"]]
         every = np.concatenate(parts)
@@ -122,21 +125,24 @@ def totals_of(rows: DataFrame) -> DataFrame:
         n = np.bincount(at, every["n"], minlength=len(words)).astype(np.int64)
         kind = every["class"][first]
         ends = np.cumsum([len(p) for p in parts])[:-1]
-        out = pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "counts": [x.tobytes() for x in np.split(n[at], ends)], "c": None, "v": None})
+        out = pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "counts": [x.tobytes() for x in np.split(n[at], ends)], "part": None, "c": None, "v": None})
         c = np.bincount(kind, n, minlength=CLASSES).astype(np.int64)
         v = np.bincount(kind, n > 0, minlength=CLASSES).astype(np.int64)
-        return pd.concat([out, pd.DataFrame({"chunk": [None], "bucket": [None], "counts": [None], "c": [c], "v": [v]})]).astype({"chunk": "Int64", "bucket": "Int32"})
+        return pd.concat([out, pd.DataFrame({"chunk": [None], "bucket": [None], "counts": [None], "part": [int(pdf["bucket"].iloc[0]) % groups], "c": [c], "v": [v]})]).astype({"chunk": "Int64", "bucket": "Int32", "part": "Int32"})
 
     found = rows.where("bucket is not null").select("chunk", "bucket", "words").groupBy("bucket")
-    return store.saved(found.applyInPandas(run, "chunk long, bucket int, counts binary, c array<long>, v array<long>"), "totals")
+    return store.saved(found.applyInPandas(run, "chunk long, bucket int, counts binary, part int, c array<long>, v array<long>"), "totals")
 
 
 def class_counts(totals: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Training tokens and distinct training words of every class."""
+    """Training tokens and distinct training words of every class, added up in two levels."""
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"c": [np.sum(np.stack(pdf["c"].to_numpy()), axis=0)], "v": [np.sum(np.stack(pdf["v"].to_numpy()), axis=0)]})
+
+    rows = totals.where("c is not null").select("part", "c", "v")
     c, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    cells = totals.where("c is not null").select(F.posexplode(F.arrays_zip("c", "v")).alias("class", "x"))
-    for r in cells.groupBy("class").agg(F.sum("x.c").alias("c"), F.sum("x.v").alias("v")).collect():
-        c[r["class"]], v[r["class"]] = r["c"], r["v"]
+    for r in rows.groupBy("part").applyInPandas(add, "c array<long>, v array<long>").collect():  # as many as the root of the buckets
+        c, v = c + np.array(r["c"]), v + np.array(r["v"])
     return c, v
 
 
@@ -224,7 +230,8 @@ def fitted(rows: DataFrame, c: np.ndarray, rounds: int = ROUNDS) -> Model:
     """Baum-Welch over all training texts, from a start on SAMPLE of them."""
     texts = rows.where("bucket is null and not held_out and octet_length(classes) > 0")
     model = Model.first(c)
-    few = [np.frombuffer(r["classes"], np.uint16) for r in texts.orderBy(F.xxhash64("key"), "chunk").limit(SAMPLE).select("classes").collect()]
+    chosen = texts.select("key", "chunk", F.xxhash64("key").alias("h")).orderBy("h", "chunk").limit(SAMPLE).select("key", "chunk")
+    few = [np.frombuffer(r["classes"], np.uint16) for r in texts.join(F.broadcast(chosen), ["key", "chunk"], "left_semi").select("key", "classes").orderBy("key").collect()]
     for _ in range(SAMPLE_ROUNDS if few else 0):
         model = Model.from_counts(model.expected(few))
     for _ in range(rounds if few else 0):
@@ -259,8 +266,9 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
     row repeated is counted and scored again. Without training texts every word is
     unknown, and the model is its smoothed start. Scores are log10 of probabilities.
     """
-    rows = encoded(docs, key, text, held_out, store.parallelism(docs.sparkSession))
-    totals = totals_of(rows)
+    buckets = store.parallelism(docs.sparkSession)
+    rows = encoded(docs, key, text, held_out, buckets)
+    totals = totals_of(rows, buckets)
     c, v = class_counts(totals)
     model = fitted(rows, c, rounds)
     kind = docs.schema[key].dataType.simpleString()
