@@ -380,3 +380,18 @@ def test_pipeline_stages(spark, sf):
     assert {r["doc_id"] for r in last.select("doc_id").collect()} == {r["doc_id"] for r in kept.select("doc_id").collect()}
     texts = [r["text"] for r in kept.collect()]
     assert len({i for _, i in groups(texts).values()}) == len(texts)
+
+
+def test_empty_tables_and_null_rows(spark):
+    none = docs(spark, ["x"]).where("doc_id < 0")
+    nulls = spark.createDataFrame([(None, None), (1, None)], "doc_id long, text string")
+    assert hmm.scored(none, F.lit(False)).count() == 0 and hmm.scored(nulls, F.col("doc_id") == 1).count() == 2
+    assert packing.packed(none, public_tokenizers.path("word_bpe_49k.json")).count() == 0
+    assert quality.counted(none).count() == 0 and quality.counted(nulls).count() == 2
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.filtered(nulls.withColumn("lang", F.lit(None).cast("string")), labels, "quality", "lang").count() == 0
+    pages = none.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"), F.col("text").alias("html"))
+    assert warc.archived(pages, "page_id", "url", "html").count() == 0
+    assert sorted(r["component_id"] for r in jaccard.linked(docs(spark, [None, "", "a"])).collect()) == [0, 1, 2]
+    vectors = spark.createDataFrame([], "id long, vec array<double>")
+    assert topk.exact_topk(vectors, vectors, 5).count() == 0
