@@ -37,11 +37,11 @@ from quillmark.llm.text import Texts, mix, shingle_sets, slices
 #: The table of counts: 2**CELLS counters, in rows of 2**ROW.
 CELLS, ROW = 21, 15
 #: One in so many shingles of a set must recur in a candidate's beginning.
-SHARE = 16
+SHARE = 10
 #: Rounds with hubs: first the sets that share most shingles, then others.
-HUB_ROUNDS = 2
-#: Members that one hub is compared with in one block, and postings of one list in one block.
-HUB_ROWS, LIST_ROWS = 512, 1 << 19
+HUB_ROUNDS = 3
+#: Rows of blocks that one hub's members are spread over, and postings of one list in one block.
+HUB_SALTS, LIST_ROWS = 8, 1 << 19
 #: Postings in one block of lists, and sets in one block of pairs.
 BLOCK_POSTINGS, BLOCK_SETS = 1 << 20, 4096
 
@@ -321,13 +321,11 @@ def verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, key: str, text
     """
     spark = docs.sparkSession
     pairs = pairs_saved = store.saved(pairs, "pairs")
-    hubs = pairs.groupBy("a").agg(F.count("*").alias("members"))
-    # Blocks form a grid, so a set with many partners stands in few of them; a hub's members are spread by salts.
+    # Blocks form a grid, so a set with many partners stands in few of them; salts spread what meets one hub.
     side = math.ceil(math.sqrt(max(store.parallelism(spark), pairs.count() // BLOCK_SETS)))
-    spread = F.greatest(F.lit(1), F.ceil(F.col("members") / HUB_ROWS))
-    row, column = F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), spread)), F.lit(side)), F.pmod(F.xxhash64("b"), F.lit(side))
-    pairs = pairs.join(hubs, "a").select((row * side + column).cast("int").alias("block"), "a", "b")
-    wanted = pairs.select("block", F.explode(F.array("a", "b")).alias("set")).distinct()
+    row, column = F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(HUB_SALTS))), F.lit(side)), F.pmod(F.xxhash64("b"), F.lit(side))
+    pairs = pairs.select((row * side + column).cast("int").alias("block"), "a", "b")
+    wanted = pairs.select("block", F.col("a").alias("set")).distinct().unionByName(pairs.select("block", F.col("b").alias("set")).distinct()).distinct()
     chosen = known.groupBy("set").agg(F.min("key").alias("key")).join(wanted.select("set").distinct(), "set")
     chosen = store.saved(chosen, "chosen")
 

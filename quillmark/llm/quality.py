@@ -90,7 +90,7 @@ def base_failed() -> Column:
 def rules() -> dict[str, Column]:
     """Each rule's score over COUNTS, from 0 to BINS."""
     def share(part: Column, of: Column, top: float) -> Column:
-        return F.least(F.lit(BINS), F.floor(F.lit(float(BINS)) * part / F.greatest(of, F.lit(1)) / top)).cast("int")
+        return F.least(F.lit(BINS), F.floor(F.lit(float(BINS)) * (part.cast("double") / F.greatest(of, F.lit(1)) / top))).cast("int")
 
     letters = F.col("n_upper") + F.col("n_lower")
     return {

@@ -126,3 +126,36 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     found = html.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"), html.trained())
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+#: A cutoff's bound stays within the risk exactly where so few errors at that risk are no likelier than the chance allowed.
+ORACLES["op7_quality"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM d),
+p AS (SELECT r, generate_subscripts(ws, 1) AS i, unnest(ws) AS x FROM w),
+g AS (SELECT r, i, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o AS three FROM p WINDOW o AS (PARTITION BY r ORDER BY i)),
+again AS (SELECT r, i FROM g WHERE three IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, three) > 1),
+rep AS (SELECT r, count(DISTINCT j) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM again) GROUP BY r),
+f AS (
+  SELECT d.r, doc_id, stratum, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(hl) - len(list_distinct(hl)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(hl) AS n_lines,
+    length(regexp_replace(t, '[^!]', '', 'g')) AS n_bang, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^a-z]', '', 'g')) AS n_lower
+  FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS hl FROM d) d JOIN w USING (r) LEFT JOIN rep USING (r)
+), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+s AS (
+  SELECT r, doc_id, stratum, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'capitals', 'bangs']) AS rule, unnest(list_transform([
+    n_symbols::DOUBLE / greatest(n_words, 1) / 4.0, n_dup_lines::DOUBLE / greatest(n_lines, 1), n_repeat_words::DOUBLE / greatest(n_words, 1), n_upper::DOUBLE / greatest(n_upper + n_lower, 1), n_bang::DOUBLE / greatest(n_words, 1) / 2.0
+  ], lambda x: least({quality.BINS}, floor({quality.BINS}::DOUBLE * x)))) AS score
+  FROM b
+), l AS (SELECT doc_id, min(quality) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+c AS (SELECT stratum, rule, score, count(*) FILTER (good <> 0) AS g, count(*) FILTER (good = 0) AS bad FROM s JOIN l USING (doc_id) WHERE NOT base_failed GROUP BY ALL),
+top AS (SELECT stratum FROM c GROUP BY stratum ORDER BY sum(g + bad) DESC, stratum LIMIT {quality.STRATA}),
+k AS (SELECT stratum, rule, score, sum(g) OVER (PARTITION BY stratum, rule)::BIGINT AS n, sum(g) OVER o AS e, sum(bad) OVER o - {quality.COST} * sum(g) OVER o AS worth FROM c JOIN top USING (stratum) WINDOW o AS (PARTITION BY stratum, rule ORDER BY score DESC)),
+cut AS (
+  SELECT stratum, rule, score AS least_score FROM k
+  WHERE score >= 1 AND e < n AND worth > 0
+    AND list_sum(list_transform(range(0, e::BIGINT + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({quality.RISK} / 5) + (n - i) * ln(1 - {quality.RISK} / 5)))) <= (1 - {quality.CONFIDENCE}) / (5 * (SELECT count(*) FROM top))
+  QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY worth DESC, score DESC) = 1
+), bad AS (SELECT DISTINCT r FROM s JOIN cut USING (stratum, rule) WHERE score >= least_score)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.r IS NULL AS kept FROM b LEFT JOIN bad USING (r)
+"""
