@@ -51,7 +51,7 @@ def op3_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict for every page's url: the longest listed rule's, else the model's."""
     weights = urlfilter.trained(urlfilter.labelled_table(spark))
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return urlfilter.judged(pages, "url", weights).select("page_id", "host", "path", "rule", "verdict", "score")
+    return urlfilter.judged(pages, "url", weights).select("page_id", "host", "path", "rule", "verdict")
 
 
 @_query
@@ -159,3 +159,38 @@ cut AS (
 ), bad AS (SELECT DISTINCT r FROM s JOIN cut USING (stratum, rule) WHERE score >= least_score)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.r IS NULL AS kept FROM b LEFT JOIN bad USING (r)
 """
+
+
+def _sql_buckets(host: str, path: str) -> str:
+    def grams(text: str, tag: str) -> str:
+        return f"list_transform(range(1, greatest(1, length({text}) - 1) + 1), lambda i: '{tag}' || substr('^' || {text} || '$', i, 4))"
+
+    return f"list_sort(list_distinct(list_transform(list_concat({grams(host, 'h')}, {grams(path, 'p')}), lambda g: ('0x' || substr(md5(g), 1, 8))::BIGINT % {urlfilter.BUCKETS})))"
+
+
+def _sql_parts(url: str) -> str:
+    rest = f"CASE WHEN contains({url}, '://') THEN substr({url}, instr({url}, '://') + 3) ELSE '' END"
+    return f"translate(regexp_extract({rest}, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) AS path"
+
+
+def _sql_rules(column: str) -> str:
+    made = "NULL"
+    for say, host, path in sorted(urlfilter.RULES, key=lambda r: len(r[1]) + len(r[2])):
+        made = f"CASE WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}') THEN '{say if column == 'verdict' else host + path}' ELSE {made} END"
+    return made
+
+
+_MARGIN = "w[-1] + coalesce(list_sum(list_transform(own, lambda b: w[b + 1])), 0) / sqrt(greatest(len(own), 1))"
+ORACLES["op3_urlfilter"] = f"""
+WITH RECURSIVE labelled(url, y) AS (VALUES {', '.join(f"('{u}', {y}::DOUBLE)" for u, y in urlfilter.LABELLED)}),
+x AS (SELECT row_number() OVER (ORDER BY md5(url)) - 1 AS k, count(*) OVER () AS many, y, {_sql_buckets('host', 'path')} AS own FROM (SELECT url, y, {_sql_parts('url')} FROM labelled)),
+fit(n, w) AS (
+  SELECT 0::BIGINT, list_transform(range({urlfilter.BUCKETS + 1}), lambda i: 0::DOUBLE)
+  UNION ALL
+  SELECT n + 1, list_transform(w, lambda v, i: v * (1 - {urlfilter.RATE} * {urlfilter.DECAY})::DOUBLE + CASE WHEN i = {urlfilter.BUCKETS + 1} THEN slope WHEN list_contains(own, i - 1) THEN slope / sqrt(len(own)) ELSE 0 END)
+  FROM (SELECT n, w, own, {urlfilter.RATE}::DOUBLE * (y - 1 / (1 + exp(-({_MARGIN})))) AS slope FROM fit JOIN x ON x.k = n % many WHERE n < {urlfilter.EPOCHS} * many)
+), model AS (SELECT w FROM fit ORDER BY n DESC LIMIT 1),
+p AS (SELECT page_id, {_sql_parts("coalesce(url, '')")} FROM pages)
+SELECT page_id, host, path, {_sql_rules('rule')} AS rule, coalesce({_sql_rules('verdict')}, CASE WHEN 1 / (1 + exp(-({_MARGIN}))) >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM (SELECT *, {_sql_buckets('host', 'path')} AS own FROM p), model
+"""
