@@ -194,3 +194,12 @@ p AS (SELECT page_id, {_sql_parts("coalesce(url, '')")} FROM pages)
 SELECT page_id, host, path, {_sql_rules('rule')} AS rule, coalesce({_sql_rules('verdict')}, CASE WHEN 1 / (1 + exp(-({_MARGIN}))) >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM (SELECT *, {_sql_buckets('host', 'path')} AS own FROM p), model
 """
+
+
+#: On these tables the main text is what stands in the article element, whose only blocks are headings and paragraphs.
+_PIECE = "replace(replace(replace(replace(regexp_replace(s, '<[a-z/][^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+ORACLES["op4_html"] = f"""
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM (
+  SELECT page_id, url, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>'), lambda s: trim(regexp_replace({_PIECE}, '\\s+', ' ', 'g'))), lambda s: s <> ''), chr(10)) AS text
+  FROM pages)
+"""
