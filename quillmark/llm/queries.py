@@ -203,3 +203,14 @@ SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM (
   SELECT page_id, url, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>'), lambda s: trim(regexp_replace({_PIECE}, '\\s+', ' ', 'g'))), lambda s: s <> ''), chr(10)) AS text
   FROM pages)
 """
+
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op1_jaccard"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWERED}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+u AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+e AS (SELECT a.doc_id AS x, b.doc_id AS y FROM u a JOIN u b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS root, doc_id FROM documents UNION SELECT r.root, e.y FROM reach r JOIN e ON e.x = r.doc_id)
+SELECT s.doc_id, len(g)::BIGINT AS n_shingles, min(root) AS component_id FROM s JOIN reach USING (doc_id) GROUP BY s.doc_id, len(g)
+"""
