@@ -169,7 +169,7 @@ def postings(docs: DataFrame, key: str, text: str, k: int, t: Threshold, counts:
                 if rows > 400_000:
                     yield from flush(held, levels)
                     held, rows = [], 0
-                if len(seen) > 500_000:
+                if len(seen) > 100_000:
                     seen.clear()
         if held:
             yield from flush(held, levels)

@@ -69,7 +69,7 @@ def word_ids(path: str) -> UnitIds:
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             return np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(size.sum())), size
 
-        _made[path] = UnitIds(encode)
+        _made[path] = UnitIds(encode, 250_000)
     return _made[path]
 
 
@@ -169,7 +169,7 @@ def packed(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, held, part = word_ids(tokenizer), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for first, n in slices(batch.column(1)):
+            for first, n in slices(batch.column(1), 1 << 21):
                 made = _block(Texts(batch.column(1).slice(first, n)), units, end_id, size)
                 keys = batch.column(0).slice(first, n).take(pa.array(made["doc"]))
                 offsets = np.concatenate([made["from"], made["to"][-1:]]) * 4

@@ -61,7 +61,7 @@ def _span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.
     return mix((total[ends] - total[starts]) * back[starts])
 
 
-def slices(column: pa.Array, limit: int = 2 * WINDOW) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """(first row, rows) of pieces of ``column`` of about ``limit`` bytes; a longer text stands alone."""
     size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     first, held = 0, 0

@@ -19,7 +19,7 @@ class UnitIds:
     memory is bounded.
     """
 
-    LARGE = 24_000_000
+    LARGE = 12_000_000
 
     def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 400_000):
         self.encode, self.most = encode, most
