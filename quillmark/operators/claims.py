@@ -86,10 +86,28 @@ def top_claims(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def matched(requirements: DataFrame, pairs: DataFrame, conflicting: DataFrame) -> DataFrame:
-    """Status of each (id, n_words, importance) requirement from its overlaps and the ids of conflicting claims."""
-    bad = pairs.join(conflicting.select(F.col("id").alias("right_id")).distinct(), "right_id", "left_semi").select("left_id").distinct().withColumn("conflict", F.lit(True))
-    best = pairs.groupBy("left_id").agg(F.max("shared").alias("best"))
+def best_overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left_id, best): the most words that any right row shares with each left one, of (id, words) on both sides.
+
+    Left rows with the same words are looked up once. The left side's index goes to
+    every task and the pairs are counted where their right row is, so no pair is shuffled.
+    """
+    rows = left.select("id", F.array_sort("words").alias("words"))
+    index = rows.select("words").distinct().select("words", F.explode("words").alias("word"))
+    texts = right.select(F.col("id").alias("right_id"), "words").repartition("right_id").select("right_id", F.explode("words").alias("word"))
+    counts = texts.join(F.broadcast(index), "word").groupBy("right_id", "words").agg(F.count("*").alias("shared"))
+    best = counts.groupBy("words").agg(F.max("shared").alias("best"))
+    return rows.join(best, "words").select(F.col("id").alias("left_id"), "best")
+
+
+def matched(requirements: DataFrame, claims: DataFrame, conflicting: DataFrame) -> DataFrame:
+    """Status of each (id, words, n_words, importance) requirement against all (id, words) claims.
+
+    ``conflicting`` are the claims, likewise with their words, that contradict what they share a word with.
+    """
+    denied = conflicting.select(F.explode("words").alias("word")).distinct()
+    bad = requirements.select(F.col("id").alias("left_id"), F.explode("words").alias("word")).join(denied, "word", "left_semi").select("left_id").distinct().withColumn("conflict", F.lit(True))
+    best = best_overlaps(requirements, claims)
     rows = requirements.join(best, F.col("id") == F.col("left_id"), "left").drop("left_id").join(bad, F.col("id") == F.col("left_id"), "left")
     enough = F.col("best") >= F.least(F.lit(2), F.greatest(F.lit(1), F.col("n_words")))
     status = F.when(F.col("conflict"), "conflict").when(F.col("best").isNull(), "gap").when(enough, "met").otherwise("partial")

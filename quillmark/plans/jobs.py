@@ -79,18 +79,16 @@ FROM {_REQ} r LEFT JOIN (SELECT left_id, max(shared) AS best, bool_or(right_id %
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     needs = jobs.requirements(_postings(spark, sf_dir)).select((F.col("id") * 100 + F.col("pos")).alias("id"), F.col("id").alias("item_id"), "importance", T.keywords(F.col("line")).alias("words")).withColumn("n_words", F.size("words"))
-    docs = _words(spark, sf_dir, "documents", "doc_id").where(F.col("id") % 7 == 3)
-    pairs = claims.overlaps(needs, docs)
-    status = claims.matched(needs, pairs, docs.where(F.col("id") % 91 == 3).select("id"))
+    docs = _words(spark, sf_dir, "documents", "doc_id")
+    status = claims.matched(needs, docs, docs.where(F.col("id") % 91 == 3))
     return status.join(needs.select("id", "item_id"), "id")
 
 
 @query(f"SELECT id AS requirement_id, item_id, importance, best, status FROM {_STATUS}")
 def job_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Match status of every requirement against one candidate's texts.
+    """Match status of every requirement against all documents, as one candidate's claim set.
 
-    The candidate is the documents with doc_id % 7 = 3, as a claim set; those with
-    doc_id % 91 = 3 count as conflicting.
+    Those with doc_id % 91 = 3 count as conflicting.
     """
     return _matched(spark, sf_dir).select(F.col("id").alias("requirement_id"), "item_id", "importance", "best", "status")
 
@@ -120,7 +118,7 @@ def job_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     status = _matched(spark, sf_dir).where("item_id < 5").select(F.col("id").alias("left_id"), "importance", "status")
     needs = jobs.requirements(_postings(spark, sf_dir)).where("id < 5").select((F.col("id") * 100 + F.col("pos")).alias("id"), T.keywords(F.col("line")).alias("words"))
-    docs = _words(spark, sf_dir, "documents", "doc_id").where(F.col("id") % 7 == 3)
+    docs = _words(spark, sf_dir, "documents", "doc_id")
     gains = claims.overlaps(needs, docs).join(status, "left_id")
     scores = gains.groupBy(F.col("right_id").alias("doc_id")).agg(F.sum(jobs.relevance(F.col("shared"), F.col("importance"), F.col("status"))).alias("score"))
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", (F.col("lang") == "es").alias("pinned")).join(scores, "doc_id", "left")
