@@ -111,16 +111,18 @@ n AS (SELECT a.source, a.slot AS new_slot, b.doc_id, b.score, b.slot AS old_slot
 SELECT source, doc_id, old_slot::INTEGER AS old_slot, new_slot::INTEGER AS new_slot, round(score, 6) AS score, pinned FROM n
 """)
 def job_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of every source re-ranked by relevance to five postings; Spanish ones keep their place.
+    """Documents of every source re-ranked by relevance to all postings together; Spanish ones keep their place.
 
-    The result is a permutation: movable rows share out the places that movable
-    rows held, by score and then by their former order.
+    Relevance is a sum over shared words, so a word's worth is summed over the
+    requirements that have it first and no pairs are made. The result is a
+    permutation: movable rows share out the places that movable rows held, by
+    score and then by their former order.
     """
-    status = _matched(spark, sf_dir).where("item_id < 5").select(F.col("id").alias("left_id"), "importance", "status")
-    needs = jobs.requirements(_postings(spark, sf_dir)).where("id < 5").select((F.col("id") * 100 + F.col("pos")).alias("id"), T.keywords(F.col("line")).alias("words"))
-    docs = _words(spark, sf_dir, "documents", "doc_id")
-    gains = claims.overlaps(needs, docs).join(status, "left_id")
-    scores = gains.groupBy(F.col("right_id").alias("doc_id")).agg(F.sum(jobs.relevance(F.col("shared"), F.col("importance"), F.col("status"))).alias("score"))
+    status = _matched(spark, sf_dir).select("id", "importance", "status")
+    needs = jobs.requirements(_postings(spark, sf_dir)).select((F.col("id") * 100 + F.col("pos")).alias("id"), F.explode(T.keywords(F.col("line"))).alias("word"))
+    worth = needs.join(status, "id").groupBy("word").agg(F.sum(jobs.relevance(F.lit(1), F.col("importance"), F.col("status"))).alias("worth"))
+    words = _words(spark, sf_dir, "documents", "doc_id").select(F.col("id").alias("doc_id"), F.explode("words").alias("word"))
+    scores = words.join(worth, "word").groupBy("doc_id").agg(F.sum("worth").alias("score"))
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", (F.col("lang") == "es").alias("pinned")).join(scores, "doc_id", "left")
     rows = rows.withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 6)).withColumn("slot", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
     by = Window.partitionBy("source", "pinned")

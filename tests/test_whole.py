@@ -42,3 +42,13 @@ def test_job_match_uses_every_document(spark, sf, made):
         want = _match(spark, at)[2]
         assert {r["requirement_id"]: (r["best"], r["status"]) for r in catalog.QUERIES["job_match"](spark, at).collect()} == want
     assert want[0] == (3, "met") and want[901] == (1, "conflict")
+
+
+def test_job_variant_scores_by_every_posting(spark, sf, made):
+    for at in (sf, made(documents=(_MADE_DOCS, _DOCS), benchmark=(_MADE_ITEMS, _ITEMS))):
+        needs, docs, found = _match(spark, at)
+        part = {"met": 1.0, "partial": 0.6}
+        want = {d["doc_id"]: sum(r["importance"] * part.get(found[r["id"]][1], 0.0) * len(set(r["w"]) & set(d["w"])) for r in needs) for d in docs}
+        got = {r["doc_id"]: r["score"] for r in catalog.QUERIES["job_variant"](spark, at).collect()}
+        assert got == pytest.approx(want, abs=2e-6)
+    assert got[4] > 0
