@@ -1,5 +1,9 @@
 """Queries over whole tables: made rows that a cut by id, length or prefix would lose, against plain loops."""
 
+import re
+from collections import Counter
+from itertools import combinations
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,3 +56,21 @@ def test_job_variant_scores_by_every_posting(spark, sf, made):
         got = {r["doc_id"]: r["score"] for r in catalog.QUERIES["job_variant"](spark, at).collect()}
         assert got == pytest.approx(want, abs=2e-6)
     assert got[4] > 0
+
+
+def test_near_dup_dice_against_all_pairs(spark, sf, made):
+    long = "a long first line with many words " * 20
+    rows = [(0, "Alpha report on harbour traffic 2020"), (1, "The alpha report on harbour traffic 2020"), (2, long), (3, "x" + long + "y"), (4, "other words entirely here"), (5, "Other words, entirely here"), (6, "--- ab12 ---"), (7, "=== ab12 ===")]
+    for at in (sf, made(documents=(rows, "doc_id long, text string"))):
+        titles = sorted({(r["text"] or "").split("\n")[0] for r in spark.read.parquet(f"{at}/documents.parquet").collect()})
+        key = {t: re.sub(r"[\W_]+", "", t.lower()) for t in titles if len(t) >= 12}
+        grams = {t: Counter(k[i : i + 2] for i in range(len(k) - 1)) for t, k in key.items()}
+        want = set()
+        for a, b in combinations(sorted(key), 2):
+            x, y = key[a], key[b]
+            if min(len(x), len(y)) > 0 and min(len(x), len(y)) / max(len(x), len(y)) >= 0.8:
+                d = 1.0 if x == y else 2 * (grams[a] & grams[b]).total() / max(1, len(x) + len(y) - 2)
+                if round(d, 6) >= 0.82:
+                    want.add((a, b))
+        assert {(r["left_title"], r["right_title"]) for r in catalog.QUERIES["near_dup_dice"](spark, at).collect()} == want
+    assert len(want) == 4
