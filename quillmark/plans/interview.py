@@ -121,8 +121,8 @@ SELECT conv_id, turn, len(w) AS n_before, coalesce(array_to_string(w, ' / '), ''
   SELECT conv_id, turn, list(role || ':' || left(text, 12)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS w FROM (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations))
 """)
 def chat_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn with the up to ten turns before it."""
+    """Every turn with the whole texts of the up to ten turns before it."""
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-10, -1)
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("role", F.lit(":"), F.left(F.coalesce("text", F.lit("")), F.lit(12))).alias("m"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("role", F.lit(":"), F.coalesce("text", F.lit(""))).alias("m"))
     rows = rows.withColumn("w", F.collect_list("m").over(before))
     return rows.select("conv_id", "turn", F.nullif(F.size("w"), F.lit(0)).cast("long").alias("n_before"), F.array_join("w", " / ").alias("context"))

@@ -74,3 +74,10 @@ def test_near_dup_dice_against_all_pairs(spark, sf, made):
                     want.add((a, b))
         assert {(r["left_title"], r["right_title"]) for r in catalog.QUERIES["near_dup_dice"](spark, at).collect()} == want
     assert len(want) == 4
+
+
+def test_chat_window_keeps_whole_texts(spark, made):
+    texts = [f"turn {i} " + "word " * 100 + str(i) for i in range(13)]
+    at = made(conversations=([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string"))
+    got = {r["turn"]: r["context"] for r in catalog.QUERIES["chat_window"](spark, at).collect()}
+    assert got == {i: " / ".join(f"user:{t}" for t in texts[max(0, i - 10) : i]) for i in range(13)}
