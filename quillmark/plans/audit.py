@@ -136,8 +136,13 @@ SELECT doc_id, CASE k {' '.join(f"WHEN {D.lit(n.replace(' ', ''))} THEN '{kind}'
   {profile.sql_role('t', '(doc_id % 50) / 50.0', '400 + doc_id % 4 * 100')} AS role, nullif(regexp_extract(t, '{lines.DATE}'), '') AS first_date, {profile.sql_seniority("(['Intern analyst', 'Junior dev', 'Senior engineer', 'Team lead', 'VP sales', 'Clerk'])[doc_id % 6 + 1]")} AS seniority FROM k
 """)
 def line_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Section, role, date and seniority of example lines dealt over the documents."""
+    """Section, role, date and seniority of every line of every document.
+
+    An example line, chosen by doc_id, is added after the last line of each document,
+    and a job title after it. Vertical place and weight are derived from doc_id.
+    """
     pick = lambda xs: F.get(F.array(*map(F.lit, xs)), (F.col("doc_id") % len(xs)).cast("int"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", pick(_HEADS).alias("t"), pick(["Intern analyst", "Junior dev", "Senior engineer", "Team lead", "VP sales", "Clerk"]).alias("job"))
+    whole = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), pick(_HEADS), F.lit("\n"), pick(["Intern analyst", "Junior dev", "Senior engineer", "Team lead", "VP sales", "Clerk"]))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(whole, "\r?\n")).alias("pos", "t"))
     date = F.regexp_extract("t", lines.DATE, 0)
-    return rows.select("doc_id", lines.section_type(F.col("t")).alias("section"), profile.role(F.col("t"), (F.col("doc_id") % 50) / 50.0, 400 + F.col("doc_id") % 4 * 100).alias("role"), F.when(date != "", date).alias("first_date"), profile.seniority(F.col("job")).alias("seniority"))
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), lines.section_type(F.col("t")).alias("section"), profile.role(F.col("t"), (F.col("doc_id") % 50) / 50.0, 400 + F.col("doc_id") % 4 * 100).alias("role"), F.when(date != "", date).alias("first_date"), profile.seniority(F.col("t")).alias("seniority"))

@@ -81,3 +81,12 @@ def test_chat_window_keeps_whole_texts(spark, made):
     at = made(conversations=([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string"))
     got = {r["turn"]: r["context"] for r in catalog.QUERIES["chat_window"](spark, at).collect()}
     assert got == {i: " / ".join(f"user:{t}" for t in texts[max(0, i - 10) : i]) for i in range(13)}
+
+
+def test_line_profile_reads_every_line(spark, made):
+    at = made(documents=([(4, "Education\nSenior engineer since 2019.07\nmail a.b@c.com\nplain words go here."), (13, None)], "doc_id long, text string"))
+    got = {(r["doc_id"], r["pos"]): r for r in catalog.QUERIES["line_profile"](spark, at).collect()}
+    assert [got[4, i]["section"] for i in range(4)] == ["education", None, None, None]
+    assert got[4, 1]["first_date"] == "2019.07" and got[4, 1]["seniority"] == "senior"
+    assert [got[4, i]["role"] for i in (2, 3, 4)] == ["contact", "paragraph", "paragraph"]
+    assert len(got) == 9 and got[4, 4]["first_date"] == "2020.04" and got[4, 5]["seniority"] == "executive"
