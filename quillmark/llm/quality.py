@@ -30,7 +30,7 @@ BINS = 200
 RISK, CONFIDENCE = 0.05, 0.95
 #: Bad texts that must be caught for each good one that is lost.
 COST = 10
-#: Strata with thresholds of their own, by the number of their labels; the others pass the learned rules.
+#: How many strata the SQL of op7_quality looks at; the operator has cutoffs for all.
 STRATA = 64
 
 
@@ -150,40 +150,45 @@ def cutoff(good: list[int], bad: list[int], risk: float, delta: float) -> int |
     return found
 
 
-def thresholds(counts: DataFrame, labels: DataFrame, label: str, stratum: str, key: str = "doc_id", risk: float = RISK, confidence: float = CONFIDENCE) -> dict[tuple[str, str], int]:
-    """(stratum, rule) -> cutoff, from all labelled rows. 1 marks a good text.
+def thresholds(counts: DataFrame, labels: DataFrame, label: str, stratum: str, key: str = "doc_id", risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
+    """(__stratum, __cutoffs), a map from rule to cutoff, from all labelled rows. 1 marks a good text.
 
-    Rows with a null key or label are left out; a key labelled twice is good only
-    if all its labels are. A null stratum is a stratum by itself (``""``). Texts
-    that fail the base rules are not judged by the learned ones, so they don't
-    count here.
+    Every stratum with labels is judged; those without an accepted cutoff have no
+    row. Rows with a null key or label are left out; a key labelled twice is good
+    only if all its labels are. A null stratum is a stratum by itself (``""``).
+    Texts that fail the base rules are not judged by the learned ones, so they
+    don't count here. The table is saved, so ``counts`` is not read again.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.min(F.col(label).cast("int")).alias("__good"))
     scores = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), s.alias("score")) for r, s in rules().items()]))
     rows = counts.where(~base_failed()).select(key, F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), scores.alias("s")).join(known, key)
-    cells = rows.groupBy("stratum", "s.rule", "s.score", "__good").count()
-    most = cells.groupBy("stratum").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "stratum").limit(STRATA)
-    gathered = cells.join(F.broadcast(most.select("stratum")), "stratum").collect()
-    strata = sorted({r["stratum"] for r in gathered})
-    delta = (1 - confidence) / max(1, len(strata) * len(rules()))
-    found = {}
-    for s in strata:
-        for rule in rules():
-            hist = [[0] * (BINS + 1), [0] * (BINS + 1)]
-            for r in gathered:
-                if r["stratum"] == s and r["rule"] == rule:
-                    hist[1 if r["__good"] else 0][r["score"]] += r["count"]
-            if (at := cutoff(hist[1], hist[0], risk / len(rules()), delta)) is not None:
-                found[s, rule] = at
-    return found
-
+    cells = store.saved(rows.groupBy("stratum", "s.rule", "s.score").agg(F.count_if(F.col("__good") != 0).alias("good"), F.count_if(F.col("__good") == 0).alias("bad")), "quality_cells")
+    part, delta = risk / len(rules()), (1 - confidence) / max(1, cells.select("stratum").distinct().count() * len(rules()))
 
-def rejected(cutoffs: dict[tuple[str, str], int], stratum: str) -> Column:
-    """True where a rule's score reaches the cutoff of the row's stratum."""
-    made, own = F.lit(False), F.coalesce(F.col(stratum), F.lit(""))
-    for (s, rule), at in sorted(cutoffs.items()):
-        made = made | ((own == s) & (rules()[rule] >= at))
-    return made
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for r in batch.to_pylist():
+                good, bad = [0] * (BINS + 1), [0] * (BINS + 1)
+                for c in r["cells"]:
+                    good[c["score"]], bad[c["score"]] = c["good"], c["bad"]
+                found.append((r["stratum"], r["rule"], cutoff(good, bad, part, delta)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.string(), pa.string(), pa.int32()))] if found else [pa.array([], t) for t in (pa.string(), pa.string(), pa.int32())], ["stratum", "rule", "at"])
+
+    hists = cells.groupBy("stratum", "rule").agg(F.collect_list(F.struct("score", "good", "bad")).alias("cells"))
+    kept = hists.mapInArrow(run, "stratum string, rule string, at int").where("at is not null")
+    out = store.saved(kept.groupBy(F.col("stratum").alias("__stratum")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "at"))).alias("__cutoffs")), "quality_cutoffs")
+    store.dropped(cells)
+    return out
+
+
+def judged(docs: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:
+    """``docs`` with ``__rejected``: whether a rule's score reaches the cutoff of the row's stratum."""
+    rows = docs.join(F.broadcast(cutoffs), F.coalesce(F.col(stratum), F.lit("")) == F.col("__stratum"), "left")
+    made = F.lit(False)
+    for rule, score in rules().items():
+        made = made | F.coalesce(score >= F.try_element_at("__cutoffs", F.lit(rule)), F.lit(False))
+    return rows.withColumn("__rejected", made).drop("__stratum", "__cutoffs")
 
 
 def filtered(docs: DataFrame, labels: DataFrame, label: str, stratum: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -194,4 +199,4 @@ def filtered(docs: DataFrame, labels: DataFrame, label: str, stratum: str, key:
     counts = store.saved(counted(docs.select(key, stratum, text), text), "quality")
     cutoffs = thresholds(counts, labels, label, stratum, key)
     store.dropped(counts)
-    return counted(docs, text, with_text=True).where(~base_failed() & ~rejected(cutoffs, stratum)).select(*[f"`{c}`" for c in docs.columns])
+    return counted(docs, text, with_text=True).where(~base_failed()).transform(judged, cutoffs, stratum).where("not __rejected").select(*[f"`{c}`" for c in docs.columns])

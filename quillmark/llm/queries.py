@@ -90,7 +90,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = store.saved(quality.counted(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")), "quality")
     cutoffs = quality.thresholds(counts, table(spark, sf_dir, "labels"), "quality", "lang")
     failed = quality.base_failed()
-    return counts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~quality.rejected(cutoffs, "lang")).alias("kept"))
+    return quality.judged(counts, cutoffs, "lang").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~F.col("__rejected")).alias("kept"))
 
 
 @_query
