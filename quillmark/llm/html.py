@@ -29,6 +29,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style template textarea title iframe noframes xmp svg math select".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 _SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table", "thead", "tbody", "tfoot")), "td": ("td th", ("tr",)), "th": ("td th", ("tr",))}
+#: Elements that may stand in a head; any other start tag, or text, ends it.
+_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 _CUES = re.compile(r"©|copyright|rights reserved|cookie|subscribe|newsletter|sign in|log in|register|share this|advert|sponsored|comment|reply|related|read more|privacy|terms of|menu|search", re.I)
 
 
@@ -62,6 +64,8 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal plain, link
         if raw:
             raw = html.unescape(raw) if "&" in raw else raw
+            if stack and stack[-1][0] == "head" and raw.strip():
+                _shut(stack, ("head",), ())
             text.append(raw)
             n = len(raw)
             plain += n
@@ -79,6 +83,8 @@ def blocks_of(page: str) -> list[Block]:
         if name is None:
             continue
         name, closing, rest = name.lower(), bool(m.group(1) or m.group(4)), m.group(3) or m.group(6) or ""
+        if not closing and name not in _HEAD:
+            _shut(stack, ("head",), ())
         if name in _RAW and not closing:
             if not rest.endswith("/"):
                 end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)

@@ -1,6 +1,6 @@
 """Training-data operators on inputs that a cap or a lost end tag would cut."""
 
-from quillmark.llm import quality
+from quillmark.llm import html, quality
 
 
 def test_every_stratum_gets_its_cutoff(spark):
@@ -12,3 +12,10 @@ def test_every_stratum_gets_its_cutoff(spark):
     assert sorted(r["__stratum"] for r in cutoffs.collect()) == names
     found = quality.judged(rows, cutoffs, "lang").groupBy("lang").agg({"doc_id": "count"}).count()
     assert found == 70 and quality.judged(rows, cutoffs, "lang").where("__rejected").count() == 70 * 20
+
+
+def test_head_may_stay_open():
+    for start in ("<body>", "", "<p>"):
+        page = f"<html><head><title>no</title><meta charset=utf-8>{start}Loose words here<article><p>The text.</p></article></html>"
+        assert [b.text for b in html.blocks_of(page)] == ["Loose words here", "The text."]
+    assert html.blocks_of("<head><noscript>no</noscript></head>") == []
