@@ -52,7 +52,7 @@ def prompt_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT conv_id, turn, text = trim(text) AS trimmed, {D.excerpt('text', 40)} AS excerpt, len(list_concat(" + ", ".join(f"regexp_extract_all(text, '(?i){p}')" for _, p in privacy.INSTRUCTIONS[:2]) + ")) > 0 AS suspicious FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)")
 def conversation_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of conversations with an excerpt and whether they try to override instructions or roles."""
+    """Turns of conversations with an excerpt and whether any instruction pattern fits them."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
-    bad = F.col("text").rlike("(?i)" + "|".join(p for _, p in privacy.INSTRUCTIONS[:2]))
+    bad = F.col("text").rlike("(?i)" + "|".join(p for _, p in privacy.INSTRUCTIONS))
     return rows.select("conv_id", "turn", (F.col("text") == F.trim("text")).alias("trimmed"), T.excerpt(F.col("text"), 40).alias("excerpt"), bad.alias("suspicious"))
