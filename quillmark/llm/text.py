@@ -2,12 +2,14 @@
 
 A word is a maximal run of bytes outside ``[\\x20\\x09-\\x0D]``. Hashes are
 64-bit and depend on the bytes alone, so they agree across batches, tasks and
-runs. Work runs in windows of some MB, so one very long text stays bounded by a
+runs; where one stands for a value across many texts, the bytes are compared or a
+second hash is kept beside it. Work runs in windows of some MB, so one very long text stays bounded by a
 few times its own size.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,11 +17,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WINDOW = 2 << 20
-_rng = np.random.RandomState(20240229)
-_PLAIN = _rng.randint(0, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = _PLAIN.copy()
-_LOWER[65:91] = _PLAIN[97:123]
-_BASE = 0x9E3779B97F4A7C15
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Ranges longer than this go through a cryptographic hash, one by one.
+LONG = 256
+_BYTES_KEPT = np.array([(1 << 8 * i) - 1 for i in range(8)] + [2**64 - 1], np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Everything in ASCII that is no letter: for words without the marks around them.
@@ -28,7 +30,6 @@ LETTERS_ONLY[:128] = True
 LETTERS_ONLY[65:91] = LETTERS_ONLY[97:123] = False
 _TAIL = np.zeros(256, bool)
 _TAIL[list(b".,!?;:%&*#$")] = True
-_powers: dict[int, np.ndarray] = {}
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -41,24 +42,53 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _power(n: int, base: int) -> np.ndarray:
-    kept = _powers.get(base)
-    if kept is None or len(kept) < n:
-        made = np.full(max(n, WINDOW + 1024), base, np.uint64)
-        made[0] = 1
-        kept = np.multiply.accumulate(made)
-        if n <= WINDOW + 1024:
-            _powers[base] = kept
-    return kept[:n]
+def _lanes(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position of ``buf`` on, as one number each; zeros follow the end."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+
+
+def _span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of every ``buf[start:end]``, eight bytes a step, each step a bijection of what was before."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019))
+    lanes = _lanes(buf)
+    at, left, rows = starts, size, None
+    if len(size) and size.max() > LONG:
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        rows = np.flatnonzero(size <= LONG)
+        at, left = starts[rows], size[rows]
+    h = out if rows is None else out[rows]
+    while len(h):
+        h = mix((h ^ (lanes[at] & _BYTES_KEPT[np.minimum(left, 8)])) * np.uint64(0xD6E8FEB86659FD93))
+        if rows is None:
+            out = h
+        else:
+            out[rows] = h
+        more = left > 8
+        kept = np.flatnonzero(more)
+        rows = kept if rows is None else rows[kept]
+        h, at, left = h[kept], at[kept] + 8, left[kept] - 8
+    return out
 
 
-def _span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Hash of every ``buf[start:end]``: a polynomial by differences of one running sum."""
-    total = np.empty(len(buf) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(table[buf] * _power(len(buf), _BASE), out=total[1:])
-    back = _power(len(buf) + 1, pow(_BASE, -1, 1 << 64))
-    return mix((total[ends] - total[starts]) * back[starts])
+def same_bytes(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes from each ``a_starts`` on equal those from ``b_starts`` on."""
+    out = np.ones(len(size), bool)
+    x, y = _lanes(a), _lanes(b)
+    rows = np.flatnonzero(size > 0)
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = a[a_starts[i] : a_starts[i] + size[i]].tobytes() == b[b_starts[i] : b_starts[i] + size[i]].tobytes()
+    rows = rows[size[rows] <= LONG]
+    done = 0
+    while len(rows):
+        off = (x[a_starts[rows] + done] ^ y[b_starts[rows] + done]) & _BYTES_KEPT[np.minimum(size[rows] - done, 8)]
+        out[rows[off != 0]] = False
+        done += 8
+        rows = rows[(off == 0) & (size[rows] > done)]
+    return out
 
 
 def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -122,14 +152,13 @@ class Texts:
 
     def spans(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
         """Hashes of ascending, disjoint byte ranges, window by window."""
-        table = _LOWER if lower else _PLAIN
         out = np.empty(len(starts), np.uint64)
         i = 0
         while i < len(starts):
             base = starts[i]
             j = max(i + 1, int(np.searchsorted(ends, base + WINDOW, "right")))
             piece = self.buf[base : ends[j - 1]]
-            out[i:j] = _span_hash(piece, starts[i:j] - base, ends[i:j] - base, table)
+            out[i:j] = _span_hash(_LOWER[piece] if lower else piece, starts[i:j] - base, ends[i:j] - base)
             i = j
         return out
 
