@@ -3,28 +3,30 @@
 Texts become sets of hashed word shingles, in one global order: rare shingles
 first, as told by a fixed-size table of counts over all texts, then by hash. Sets
 that reach the threshold share l shingles among their first |x| - ceil(t |x|) + l,
-so only those are dealt out, by shingle; l grows with the set, which tells sets that
-share a passage from near copies before any set travels.
-
-The groups that share one are joined in rounds. In each of the first, every list
-names a hub, and its members are compared with the hub alone; what is linked
-becomes one component. The last takes, from the same lists, every pair of sets that
-are still in different components, of fitting lengths and with enough lists in
-common, so no link between components can be missed. Before that, every set leaves
-half of l of its longest lists: pairs that share l lists still meet in the rest.
-Pairs are verified in blocks: a block's sets stand in a prefix tree, and each query
-set walks it, carrying the overlap of shared prefixes down and leaving a subtree
-when what remains on either side is too short.
+so only those are dealt out, by shingle; l grows with the set. Of its lists that
+other sets are in too, every set then leaves the longest, fewer than l of the
+smallest set it can link with: two linked sets still meet in a list.
+
+Lists are gathered into groups by their leading member, so that the many lists of
+one family of near copies become few groups, and each set travels once to each of
+its groups, not once a shingle. Within a group the sets stand in a prefix tree,
+frequent shingles first, and sets walk it together as queries, carrying the overlap
+of shared beginnings down. A subtree is left when what remains on either side is
+too short, when its sizes do not fit, or when it lies in the query's component; a
+set whose remaining partners are all in its component is not asked at all. Only the
+links that join two components leave the task.
+
+A group too large for one task is dealt over several, each with the leading member
+in it; after these, the sets outside the group's largest component are compared
+with the other parts.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
@@ -33,17 +35,18 @@ from pyspark.sql import functions as F
 from quillmark.llm import store
 from quillmark.llm.components import components
 from quillmark.llm.text import Texts, mix, shingle_sets, slices
+from quillmark.llm.units import gathered
 
 #: The table of counts: 2**CELLS counters, in rows of 2**ROW.
 CELLS, ROW = 21, 15
 #: One in so many shingles of a set must recur in a candidate's beginning.
 SHARE = 10
-#: Rounds with hubs: first the sets that share most shingles, then others.
-HUB_ROUNDS = 3
-#: Rows of blocks that one hub's members are spread over, and postings of one list in one block.
-HUB_SALTS, LIST_ROWS = 8, 1 << 19
-#: Postings in one block of lists, and sets in one block of pairs.
-BLOCK_POSTINGS, BLOCK_SETS = 1 << 20, 4096
+#: Postings of one list in one block.
+LIST_ROWS = 1 << 19
+#: Postings in one block of lists; shingles in one block of groups, and in one part of a group.
+BLOCK_POSTINGS, BLOCK_SHINGLES, PART_SHINGLES = 1 << 20, 1 << 20, 1 << 20
+#: Queries that walk a tree together, and bytes of the table that they walk it with.
+QUERIES, TABLE_BYTES = 64, 1 << 25
 
 
 class _Counts:
@@ -79,11 +82,10 @@ def _summed(df: DataFrame) -> np.ndarray:
     return out
 
 
-def set_id(shingles: np.ndarray) -> int:
-    """A 64-bit name of a set, from the sum and the mixed sum of its hashes; equal sets have equal names."""
-    both = np.array([shingles.sum(dtype=np.uint64), mix(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(shingles))], np.uint64)
-    h = mix(both)
-    return int(mix(h[:1] * np.uint64(3) + h[1:]).astype(np.int64)[0])
+def set_id(shingles: np.ndarray) -> bytes:
+    """A 128-bit name of a set, from sums of its hashes mixed in two ways; equal sets have equal names."""
+    first, second = mix(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64), mix(shingles * np.uint64(0xDA942042E4DD58B5) + np.uint64(1)).sum(dtype=np.uint64)
+    return mix(np.array([first + np.uint64(len(shingles)), second], np.uint64)).tobytes()
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -106,10 +108,10 @@ def documents_of(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
         yield _batch([none, none, none, [c for c, _ in cells], [b for _, b in cells]])
 
     def _batch(columns: list) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
         return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "n", "set", "cell", "counts"])
 
-    return store.saved(docs.select(F.col(key).cast("long").alias("key"), text).mapInArrow(run, "key long, n long, `set` long, cell int, counts binary"), "sets")
+    return store.saved(docs.select(F.col(key).cast("long").alias("key"), text).mapInArrow(run, "key long, n long, `set` binary, cell int, counts binary"), "sets")
 
 
 def levels_of(counts: np.ndarray) -> tuple[np.ndarray, int]:
@@ -146,13 +148,22 @@ class Threshold:
         return (self.num + self.den) * overlap >= self.num * (a + b)
 
 
-def postings(docs: DataFrame, key: str, text: str, k: int, t: Threshold, counts: np.ndarray, blocks: int) -> DataFrame:
-    """Rows (block, rows of a numpy table): the first shingles of every set, dealt by shingle.
+POSTING = np.dtype([("token", "u8"), ("set", "u4")])
+NAMED = np.dtype([("name", "S16"), ("n", "u4")])
+
+
+def _spread(base: int) -> np.ndarray:
+    """Over how many blocks a list of each rank is dealt."""
+    return np.maximum(1, (base << np.arange(64).clip(0, 40)) // LIST_ROWS)
+
+
+def postings(docs: DataFrame, text: str, k: int, t: Threshold, counts: np.ndarray, blocks: int) -> DataFrame:
+    """Rows (block, rows, sets): the first shingles of every set, dealt by shingle, and the names they refer to.
 
     A list that the counts call very long is dealt over several blocks, by set.
     """
     levels, base = levels_of(counts)
-    spread = np.maximum(1, (base << np.arange(64).clip(0, 40)) // LIST_ROWS)
+    spread = _spread(base)
     sent = docs.sparkSession.sparkContext.broadcast(levels)  # 2**CELLS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,50 +178,68 @@ def postings(docs: DataFrame, key: str, text: str, k: int, t: Threshold, counts:
                     held.append((own, name, len(s)))
                     rows += len(own)
                 if rows > 400_000:
-                    yield from flush(held, levels)
+                    yield flush(held, levels)
                     held, rows = [], 0
                 if len(seen) > 100_000:
                     seen.clear()
         if held:
-            yield from flush(held, levels)
+            yield flush(held, levels)
 
-    def flush(held: list, levels: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def flush(held: list, levels: np.ndarray) -> pa.RecordBatch:
         size = np.array([len(x[0]) for x in held])
+        named = np.array([(x[1], x[2]) for x in held], NAMED)
         made = np.empty(size.sum(), POSTING)
         made["token"] = np.concatenate([x[0] for x in held])
-        made["set"] = np.repeat(np.array([x[1] for x in held], np.int64), size)
-        made["n"] = np.repeat([x[2] for x in held], size)
-        level = levels[(made["token"] & np.uint64((1 << CELLS) - 1)).astype(np.int64)]
-        parts = spread[level]
-        made["split"] = parts > 1
-        salt = mix(made["set"].astype(np.uint64)) % parts.astype(np.uint64)
+        made["set"] = np.repeat(np.arange(len(held)), size)
+        parts = spread[levels[(made["token"] & np.uint64((1 << CELLS) - 1)).astype(np.int64)]].astype(np.uint64)
+        salt = mix(made["token"] + made["set"].astype(np.uint64)) % parts
         block = (mix(made["token"] + salt) % np.uint64(blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")
         cut = np.searchsorted(block[order], np.arange(blocks + 1))
         made = made[order]
         full = np.flatnonzero(np.diff(cut))
-        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([made[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary())], ["block", "rows"])
+        rows, sets = [], []
+        for i in full:
+            part = made[cut[i] : cut[i + 1]].copy()
+            own, at = np.unique(part["set"], return_inverse=True)
+            part["set"] = at
+            rows.append(part.tobytes())
+            sets.append(named[own].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(rows, pa.binary()), pa.array(sets, pa.binary())], ["block", "rows", "sets"])
 
-    return docs.select(text).mapInArrow(run, "block int, rows binary")
+    return docs.select(text).mapInArrow(run, "block int, rows binary, sets binary")
 
 
-POSTING = np.dtype([("token", "u8"), ("set", "i8"), ("n", "u4"), ("split", "u1")])
-
-
-def lists_of(dealt: DataFrame) -> DataFrame:
+def lists_of(dealt: DataFrame, counts: np.ndarray) -> DataFrame:
     """Saved rows (token, own, n): the sets of every list of two or more; lists of one set are left out."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = np.concatenate([np.frombuffer(x, POSTING) for x in pdf["rows"]])
+    levels, base = levels_of(counts)
+    spread = _spread(base) > 1
+    sent = dealt.sparkSession.sparkContext.broadcast(levels)
+
+    def run(table: pa.Table) -> pa.Table:
+        rows, names, first = [], [], 0
+        for blob, sets in zip(table.column("rows").to_pylist(), table.column("sets").to_pylist(), strict=True):
+            part = np.frombuffer(blob, POSTING).copy()
+            part["set"] += first
+            rows.append(part)
+            names.append(np.frombuffer(sets, NAMED))
+            first += len(names[-1])
+        named, at = np.unique(np.concatenate(names), return_inverse=True)
+        rows = np.concatenate(rows)
+        rows["set"] = at[rows["set"]]
         rows = rows[np.lexsort((rows["set"], rows["token"]))]
         same = np.zeros(len(rows), bool)
         same[1:] = (rows["token"][1:] == rows["token"][:-1]) & (rows["set"][1:] == rows["set"][:-1])
         rows = rows[~same]
-        first = np.flatnonzero(np.r_[True, rows["token"][1:] != rows["token"][:-1]])
-        size = np.diff(np.r_[first, len(rows)])
-        kept = rows[(np.repeat(size, size) > 1) | (rows["split"] > 0)]
-        return pd.DataFrame({"token": kept["token"].astype(np.int64), "own": kept["set"], "n": kept["n"].astype(np.int64)})
+        start = np.flatnonzero(np.r_[True, rows["token"][1:] != rows["token"][:-1]])
+        size = np.diff(np.r_[start, len(rows)])
+        split = spread[sent.value[(rows["token"] & np.uint64((1 << CELLS) - 1)).astype(np.int64)]]
+        kept = rows[(np.repeat(size, size) > 1) | split]
+        own = named[kept["set"]]
+        blob = np.ascontiguousarray(own["name"]).tobytes()
+        return pa.table({"token": kept["token"].astype(np.int64), "own": pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(kept), [None, pa.py_buffer(blob)]).cast(pa.binary()), "n": own["n"].astype(np.int64)})
 
-    return store.saved(dealt.groupBy("block").applyInPandas(run, "token long, own long, n long"), "lists")
+    return store.saved(dealt.groupBy("block").applyInArrow(run, "token long, own binary, n long"), "lists")
 
 
 def needed(n: Column) -> Column:
@@ -218,116 +247,201 @@ def needed(n: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(n / SHARE)).cast("long")
 
 
-def thinned(lists: DataFrame) -> DataFrame:
-    """Saved rows (token, own, n, degree) without each set's longest lists: half of what it needs, rounded down.
+def thinned(lists: DataFrame, t: Threshold) -> DataFrame:
+    """Saved rows (token, own, n, degree) without each set's longest lists: one less than the smallest set needs that it can link with.
 
-    In the order of list length, what a set leaves out of the shingles that it
-    shares with another are the last of them; so a pair that shares l of them keeps
-    l less the larger of the two numbers left out.
+    In the order of list length, what two sets leave out of the lists that both are
+    in are the first of these; the larger set leaves more, and that is fewer than the
+    smaller one needs, so a list of both remains.
     """
     long = lists.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
     rows = lists.join(long, "token")
     place = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("size"), "token"))
-    rows = rows.withColumn("place", place).where(F.col("place") > F.floor(needed(F.col("n")) / 2))
+    rows = rows.withColumn("place", place).where(F.col("place") >= needed(F.ceil(F.col("n") * t.num / t.den)))
     return store.saved(rows.withColumn("degree", F.count("*").over(Window.partitionBy("own"))).select("token", "own", "n", "degree"), "thin")
 
 
-def enough(times: Column, small: Column, large: Column) -> Column:
-    """Whether sets of such sizes share enough of their remaining lists to be compared."""
-    return times >= F.greatest(F.lit(1), needed(small) - F.floor(needed(large) / 2))
+def members_of(thin: DataFrame, t: Threshold) -> DataFrame:
+    """Saved distinct rows (lead, own, n): the sets of every group, those without a partner of fitting size left out.
 
-
-def with_components(rows: DataFrame, grouped: DataFrame | None) -> DataFrame:
-    """``rows`` of lists whose sets are in more than one component, with the component of each."""
-    if grouped is None:
-        return rows.withColumn("component", F.col("own"))
-    rows = rows.join(grouped.select(F.col("node").alias("own"), "component"), "own", "left").withColumn("component", F.coalesce("component", "own"))
-    mixed = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    return rows.join(mixed, "token")
+    A group is the union of the lists that have the same leading member, that with the
+    most lists; so sets that share a list share a group.
+    """
+    lead = thin.groupBy("token").agg(F.max(F.struct("degree", "own")).alias("h"), F.count("*").alias("size")).where("size > 1").select("token", F.col("h.own").alias("lead"))
+    rows = thin.join(lead, "token").select("lead", "own", "n").distinct()
+    # Sizes that fit are at most one band apart; the bands are a little wider than that.
+    rows = store.saved(rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(t.den / t.num * 1.001))).cast("int")), "near")
+    bands = rows.groupBy("lead", "band").agg(F.count("*").alias("times"))
+    near = bands.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).groupBy("lead", "band").agg(F.sum("times").alias("near")).where("near > 1").select("lead", "band")
+    out = store.saved(rows.join(near, ["lead", "band"], "left_semi").select("lead", "own", "n"), "members")
+    store.dropped(rows)
+    return out
 
 
-def hub_pairs(rows: DataFrame, t: Threshold, number: int) -> DataFrame:
-    """Pairs (a, b) of each list's hub and its members from other components that meet often enough.
+class PrefixTree:
+    """Sets as paths of a tree that shares equal beginnings, each node a run of shingles.
 
-    A list has one hub, so there are at most as many rows as postings.
+    Shingles that several of the sets hold come in one order, frequent ones first;
+    those of one set alone cannot be shared and count by the set's size only. Nodes
+    stand level by level, so all nodes of a level are walked at once.
     """
-    rank = F.struct(F.when(F.lit(number == 0), F.col("degree")).otherwise(F.lit(0)).alias("degree"), F.xxhash64("own", F.lit(number)).alias("r"), F.col("own").alias("a"), F.col("n").alias("m"), F.col("component").alias("c"))
-    hubs = rows.groupBy("token").agg(F.max(rank).alias("h")).select("token", "h.a", "h.m", "h.c")
-    met = rows.join(hubs, "token").where((F.col("component") != F.col("c")) & (t.den * F.least("n", "m") >= t.num * F.greatest("n", "m")))
-    met = met.groupBy("a", F.col("own").alias("b")).agg(F.count("*").alias("times"), F.first(F.least("n", "m")).alias("n"), F.first(F.greatest("n", "m")).alias("m"))
-    return met.where(enough(2 * F.col("times"), F.col("n"), F.col("m"))).select("a", "b")
 
+    def __init__(self, sets: list[np.ndarray]):
+        m = len(sets)
+        self.size = np.array([len(s) for s in sets], np.int64)
+        owner = np.repeat(np.arange(m), self.size)
+        tokens, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        by = np.lexsort((tokens, -times))
+        rank = np.empty(len(tokens), np.int64)
+        rank[by] = np.arange(len(tokens))
+        self.width = int((times > 1).sum())
+        shared = times[at] > 1
+        owner, path = owner[shared], rank[at[shared]]
+        by = np.lexsort((path, owner))
+        path = path[by]
+        cut = np.r_[0, np.cumsum(np.bincount(owner, minlength=m))]
+        self.paths = [path[cut[i] : cut[i + 1]] for i in range(m)]
+        self.order = np.array(sorted(range(m), key=lambda i: self.paths[i].astype(">u4").tobytes()), np.int64)
+        self._grow()
+
+    def _grow(self) -> None:
+        paths, m = [self.paths[i] for i in self.order], len(self.order)
+        depth, parent, lo, hi, end = [0], [-1], [0], [m], []  # the root is node 0
+        stack = [0]
+        for i in range(m):
+            common = 0
+            if i:
+                a, b = paths[i - 1], paths[i]
+                n = min(len(a), len(b))
+                off = a[:n] != b[:n]
+                first = int(off.argmax()) if n else 0
+                common = first if n and off[first] else n
+            while depth[stack[-1]] > common:
+                node = stack.pop()
+                hi[node] = i
+                if depth[stack[-1]] < common:
+                    depth.append(common)
+                    parent.append(stack[-1])
+                    lo.append(lo[node])
+                    hi.append(m)
+                    stack.append(len(depth) - 1)
+                parent[node] = stack[-1]
+            if depth[stack[-1]] < len(paths[i]):
+                depth.append(len(paths[i]))
+                parent.append(stack[-1])
+                lo.append(i)
+                hi.append(m)
+                stack.append(len(depth) - 1)
+            end.append(stack[-1])
+        level, by = [0] * len(depth), sorted(range(len(depth)), key=depth.__getitem__)
+        for node in by[1:]:
+            level[node] = level[parent[node]] + 1
+        by = np.argsort(level, kind="stable")
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        self.lo, self.hi, self.depth = np.array(lo)[by], np.array(hi)[by], np.array(depth)[by]
+        self.parent = np.r_[0, place[np.array(parent)[by[1:]]]].astype(np.int64)
+        self.levels = np.r_[0, np.cumsum(np.bincount(level))].tolist()
+        runs = [paths[a][d:e] for a, d, e in zip(self.lo[1:].tolist(), self.depth[self.parent[1:]].tolist(), self.depth[1:].tolist(), strict=True)]
+        self.tokens = np.concatenate(runs) if runs else np.zeros(0, np.int64)
+        self.stop = np.r_[0, np.cumsum([len(r) for r in runs])].astype(np.int64)
+        self.start = np.r_[0, self.stop[:-1]]
+        self.last = np.r_[0, self.tokens[self.stop[1:] - 1]] if runs else np.zeros(1, np.int64)
+        self.end = place[end]
+        length = np.array([len(p) for p in paths])
+        self.left = self._below(length, np.maximum) - self.depth
+        sizes = self.size[self.order]
+        self.small, self.large = self._below(sizes, np.minimum), self._below(sizes, np.maximum)
+
+    def _below(self, values: np.ndarray, of: np.ufunc) -> np.ndarray:
+        """The least or largest of each node's sets, which stand at its places lo to hi."""
+        padded = np.r_[values, values[-1:]]
+        return of.reduceat(padded, np.c_[self.lo, self.hi].ravel())[::2]
+
+    def overlaps(self, asked: np.ndarray, label: np.ndarray, t: Threshold) -> np.ndarray:
+        """How many shingles each of the sets ``asked`` shares with each set; 0 where a subtree was left early."""
+        held = np.zeros((self.width, len(asked)), np.uint8)
+        for i, q in enumerate(asked.tolist()):
+            held[self.paths[q], i] = 1
+        used = held.cumsum(axis=0, dtype=np.int32)
+        whole = np.array([len(self.paths[q]) for q in asked.tolist()], np.int64)
+        n, own = self.size[asked], label[asked]
+        places = label[self.order]
+        low, high = self._below(places, np.minimum), self._below(places, np.maximum)
+        low[low != high] = -1
+        overlap = np.zeros((len(self.lo), len(asked)), np.int32)
+        alive = np.zeros(len(self.lo), bool)
+        alive[0] = True
+        for a, z in zip(self.levels[1:-1], self.levels[2:], strict=True):
+            nodes = np.arange(a, z)[alive[self.parent[a:z]]]
+            if not len(nodes):
+                break
+            size = self.stop[nodes] - self.start[nodes]
+            run = self.tokens[self.start[a] : self.stop[z - 1]] if len(nodes) == z - a else gathered(self.tokens, self.start[nodes], size)
+            now = overlap[self.parent[nodes]] + np.add.reduceat(held[run], np.cumsum(size) - size, axis=0, dtype=np.int32)
+            overlap[nodes] = now
+            best = now + np.minimum(whole - used[self.last[nodes]], self.left[nodes][:, None])
+            small, large = self.small[nodes][:, None], self.large[nodes][:, None]
+            open_ = t.reachable(best, n, small) & (t.den * large >= t.num * n) & (t.num * small <= t.den * n) & (low[nodes][:, None] != own)
+            alive[nodes] = open_.any(axis=1)
+        out = np.zeros((len(asked), len(self.order)), np.int32)
+        out[:, self.order] = overlap[self.end].T
+        return out
 
-def open_pairs(rows: DataFrame, t: Threshold) -> DataFrame:
-    """Every pair (a, b) of sets in different components that fit in size and share enough lists."""
-    x, y = rows.alias("x"), rows.alias("y")
-    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    allowed = (F.col("x.own") < F.col("y.own")) & (F.col("x.component") != F.col("y.component")) & (t.den * small >= t.num * large)
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & allowed).groupBy(F.col("x.own").alias("a"), F.col("y.own").alias("b"))
-    met = met.agg(F.count("*").alias("times"), F.first(small).alias("n"), F.first(large).alias("m"))
-    return met.where(enough(F.col("times"), F.col("n"), F.col("m"))).select("a", "b")
 
+def joining(sets: list[np.ndarray], label: np.ndarray, ask: np.ndarray, t: Threshold) -> list[tuple[int, int]]:
+    """Links among ``sets`` that join what is in different components: enough of them that no other link would.
 
-class PrefixTree:
-    """Sets as paths of a tree that shares equal beginnings, each node a run of shingles."""
+    ``label`` has the component of every set; only links with a set that ``ask`` marks are looked for.
+    """
+    tree, label, left, out, many = PrefixTree(sets), label.copy(), ask.copy(), [], 2
+    most = max(1, min(QUERIES, TABLE_BYTES // max(1, len(tree.tokens) + 4 * tree.width)))
+    while left.any():
+        waiting = np.flatnonzero(left)
+        if ask.all():
+            # What has been asked is settled with every other set, so only the waiting ones are partners.
+            kinds, times = np.unique(label[waiting], return_counts=True)
+            if len(kinds) == 1:
+                break
+            waiting = waiting[label[waiting] != kinds[times.argmax()]]
+        elif (label == label[0]).all():
+            break
+        asked = waiting[np.argsort(-tree.size[waiting], kind="stable")[: min(many, most)]]
+        many *= 4
+        shared = tree.overlaps(asked, label, t)
+        left[asked] = False
+        for i, j in zip(*np.nonzero(t.met(shared, tree.size[asked][:, None], tree.size) & (shared > 0)), strict=True):
+            a, b = int(asked[i]), int(j)
+            if label[a] != label[b]:
+                out.append((a, b))
+                label[label == label[b]] = label[a]
+    return out
 
-    def __init__(self, sets: list[np.ndarray]):
-        order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-        self.place = np.empty(len(sets), np.int64)
-        self.place[order] = np.arange(len(sets))
-        self.sets = [sets[i] for i in order]
-        self.size = np.array([len(s) for s in self.sets])
-        shared = [0] * len(sets)
-        for i in range(1, len(sets)):
-            a, b = self.sets[i - 1], self.sets[i]
-            m = min(len(a), len(b))
-            off = np.flatnonzero(a[:m] != b[:m])
-            shared[i] = int(off[0]) if len(off) else m
-        self.shared = np.array(shared)
-
-    def linked(self, query: np.ndarray, wanted: np.ndarray, t: Threshold) -> list[int]:
-        """Which of the sets at the ascending places ``wanted`` reach the threshold with ``query``."""
-        out, n = [], len(query)
-        stack = [(wanted, 0, 0, 0)]  # places below a node, its depth, overlap so far, shingles of the query used up
-        while stack:
-            below, depth, overlap, used = stack.pop()
-            lo, hi = int(below[0]), int(below[-1])
-            end = int(self.size[lo]) if lo == hi else int(self.shared[lo + 1 : hi + 1].min())
-            if end > depth:
-                run = self.sets[lo][depth:end]
-                at = np.searchsorted(query, run)
-                hit = query[np.minimum(at, n - 1)] == run
-                overlap += int(hit.sum())
-                used = int(at[-1]) + bool(hit[-1])
-            sizes = self.size[below]
-            if not t.reachable(overlap + min(n - used, int(sizes.max()) - end), n, int(sizes.min())):
-                continue
-            done = sizes == end
-            out += [int(p) for p in below[done] if t.met(overlap, n, end)]
-            rest = below[~done]
-            if len(rest):
-                # A child ends wherever neighbours part at this node's end.
-                parted = [self.shared[rest[i] + 1 : rest[i + 1] + 1].min() <= end for i in range(len(rest) - 1)]
-                for child in np.split(rest, np.flatnonzero(parted) + 1):
-                    stack.append((child, end, overlap, used))
-        return out
 
+def _links(rows: DataFrame, sets: DataFrame, blocks: int, t: Threshold) -> DataFrame:
+    """Saved links (a, b) that join components within each part: rows (lead, part, id, component, ask), sets (id, shingles)."""
+    def run(table: pa.Table) -> pa.Table:
+        lead, part, id_, component = (table.column(c).to_numpy() for c in ("lead", "part", "id", "component"))
+        ask, shingles = table.column("ask").to_numpy(), table.column("shingles").combine_chunks()
+        order = np.lexsort((id_, ~ask, part, lead))
+        new = np.r_[True, (lead[order][1:] != lead[order][:-1]) | (part[order][1:] != part[order][:-1])]
+        found: list[tuple[int, int]] = []
+        for at in np.split(order, np.flatnonzero(new)[1:]):
+            # A set may stand in a part both as one that asks and as one that is asked.
+            at = at[np.r_[True, id_[at][1:] != id_[at][:-1]]] if len(at) else at
+            if len(at) > 1:
+                sets = [np.frombuffer(shingles[i].as_buffer(), np.uint64) for i in at.tolist()]
+                found += [(id_[at[a]], id_[at[b]]) for a, b in joining(sets, np.unique(component[at], return_inverse=True)[1], ask[at], t)]
+        both = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("lead", "part"), F.lit(blocks)).cast("int")).join(sets, "id")
+    return store.saved(dealt.groupBy("block").applyInArrow(run, "a long, b long"), "links")
 
-def verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, key: str, text: str, k: int, t: Threshold) -> DataFrame:
-    """Those of the distinct pairs (a, b) of sets that reach the threshold, saved.
 
-    The sets are made again from the texts of one document each, so that only
-    sets in some pair travel.
-    """
+def _chosen_sets(docs: DataFrame, chosen: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """Saved rows (id, shingles) of the sets in ``chosen`` (set, key, id), made again from one document each."""
     spark = docs.sparkSession
-    pairs = pairs_saved = store.saved(pairs, "pairs")
-    # Blocks form a grid, so a set with many partners stands in few of them; salts spread what meets one hub.
-    side = math.ceil(math.sqrt(max(store.parallelism(spark), pairs.count() // BLOCK_SETS)))
-    row, column = F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(HUB_SALTS))), F.lit(side)), F.pmod(F.xxhash64("b"), F.lit(side))
-    pairs = pairs.select((row * side + column).cast("int").alias("block"), "a", "b")
-    wanted = pairs.select("block", F.col("a").alias("set")).distinct().unionByName(pairs.select("block", F.col("b").alias("set")).distinct()).distinct()
-    chosen = known.groupBy("set").agg(F.min("key").alias("key")).join(wanted.select("set").distinct(), "set")
-    chosen = store.saved(chosen, "chosen")
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = _Counts()
@@ -346,32 +460,10 @@ def verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, key: str, text
             hashed = mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)) & np.uint64((1 << CELLS) - 1)
             batch = batch.filter(pa.array(bits[hashed.astype(np.int64)]))
             for first, sets in _sets(batch.column(1), k):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "set", "shingles"])
-
-    sets = docs.select(F.col(key).cast("long").alias("key"), text).mapInArrow(made, "key long, `set` long, shingles binary")
-    sets = sets.join(chosen, ["key", "set"], "left_semi").select("set", "shingles").dropDuplicates(["set"])
-    blocks = wanted.join(sets, "set").groupBy("block").cogroup(pairs.select(F.col("block").alias("of"), F.col("a").alias("hub"), F.col("b").alias("member")).groupBy("of"))
-
-    def run(rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        where = {s: i for i, s in enumerate(rows["set"].tolist())}
-        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
-        tree = PrefixTree(sets)
-        names = rows["set"].to_numpy()
-        back = np.empty(len(sets), np.int64)
-        back[tree.place] = np.arange(len(sets))
-        a = np.array([where[x] for x in pairs["hub"]], np.int64)
-        b = tree.place[np.array([where[x] for x in pairs["member"]], np.int64)] if len(pairs) else a
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        found: list[tuple[int, int]] = []
-        for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(a)) + 1) if len(a) else []:
-            hub = int(a[part[0]])
-            found += [(names[hub], names[back[p]]) for p in tree.linked(sets[hub], b[part], t)]
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array([set_id(s) if len(s) else None for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "set", "shingles"])
 
-    out = store.saved(blocks.applyInPandas(run, "a long, b long"), "links")
-    store.dropped(pairs_saved, chosen)
-    return out
+    sets = docs.select(F.col(key).cast("long").alias("key"), text).mapInArrow(made, "key long, `set` binary, shingles binary")
+    return store.saved(sets.join(chosen, ["key", "set"]).select("id", "shingles").dropDuplicates(["id"]), "shingles")
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -381,40 +473,83 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     is at least num / den. A text with fewer words is one shingle; a null, empty or
     blank text has none and links with nothing. Equal sets link, however many
     documents hold them; keys on several rows share a component only if their
-    texts do, and each row is returned. Shingles and sets go by 64-bit hashes.
+    texts do, and each row is returned; rows without a key stand alone, with a null
+    component. Shingles go by 64-bit hashes, sets by 128 bits.
     """
-    t = Threshold(num, den)
+    t, spark = Threshold(num, den), docs.sparkSession
     saved = documents_of(docs, key, text, k)
     counts = _summed(saved.where("cell is not null").select("cell", "counts"))
     known = saved.where("n is not null").select("key", "n", "set")
-    held = known.where("`set` is not null")
-    blocks = max(store.parallelism(docs.sparkSession), int(counts.sum()) * (den - num) // den // BLOCK_POSTINGS)
-    lists = lists_of(postings(docs, key, text, k, t, counts, blocks))
-    thin = thinned(lists)
+    held = known.where("`set` is not null and key is not null").groupBy("set").agg(F.min("key").alias("key"))
+    keyed = docs.where(F.col(key).isNotNull())
+    blocks = max(store.parallelism(spark), int(counts.sum()) * (den - num) // den // BLOCK_POSTINGS)
+    lists = lists_of(postings(keyed, text, k, t, counts, blocks), counts)
+    thin = thinned(lists, t)
     store.dropped(lists)
-    store.tidy(docs.sparkSession)
-    grouped = None
-    for number in range(HUB_ROUNDS + 1):
-        rows = store.saved(with_components(thin, grouped), "open")
-        pairs = hub_pairs(rows, t, number) if number < HUB_ROUNDS else open_pairs(rows, t)
-        links = verified(pairs, docs, held, key, text, k, t)
-        store.dropped(rows)
-        if grouped is not None:
-            links = links.unionByName(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        grouped = store.saved(components(links), "components")
-        store.tidy(docs.sparkSession)
-
-    final = grouped
-    least = held.groupBy("set").agg(F.min("key").alias("least")).join(final.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-    named = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_set = least.join(named, "component").select("set", "component_id")
-    return known.join(by_set, "set", "left").select("key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
+    members = members_of(thin, t)
+    store.dropped(thin)
+    store.tidy(spark)
+
+    chosen = store.saved(members.select(F.col("own").alias("set")).distinct().join(held, "set").withColumn("id", F.monotonically_increasing_id()), "chosen")
+    sets = _chosen_sets(keyed, chosen, key, text, k)
+    ids = chosen.select("set", "id")
+    named = members.join(ids.withColumnRenamed("set", "own"), "own").join(ids.select(F.col("set").alias("lead"), F.col("id").alias("of")), "lead", "left").select(F.coalesce("of", F.xxhash64("lead")).alias("lead"), "id", "n")
+    parts = named.groupBy("lead").agg((F.sum("n") / PART_SHINGLES).cast("int").alias("parts"))
+    rows = store.saved(named.join(parts, "lead").select("lead", "id", "n", (F.col("parts") + 1).alias("parts"), F.pmod(F.xxhash64("id"), F.col("parts") + 1).cast("int").alias("part")), "dealt")
+    store.dropped(members)
+    # The leading member stands in every part of its group.
+    alone = rows.where("id <> lead").select("lead", "id", "n", "part").unionByName(rows.where("id = lead").select("lead", "id", "n", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
+    total, divided = rows.agg(F.sum("n"), F.max("parts")).first()
+    size = max(store.parallelism(spark), int(total or 0) // BLOCK_SHINGLES)
+    links = _links(alone.select("lead", "part", "id", F.col("id").alias("component"), F.lit(True).alias("ask")), sets, size, t)
+    grouped = store.saved(components(links), "components")
+    store.dropped(links)
+    if (divided or 0) > 1:
+        grouped = _across(rows.where("parts > 1"), sets, grouped, t)
+    store.dropped(rows, sets)
+    store.tidy(spark)
+
+    least = held.join(ids, "set", "left").join(grouped.select(F.col("node").alias("id"), "component"), "id", "left")
+    first = least.groupBy(F.coalesce("component", "id").alias("c")).agg(F.min("key").alias("component_id")).where("c is not null")
+    by_set = least.withColumn("c", F.coalesce("component", "id")).join(first, "c", "left").select("set", F.coalesce("component_id", "key").alias("component_id"))
+    # Rows without a set meet nothing: spread over the partitions by their keys.
+    return known.withColumn("set", F.coalesce("set", F.col("key").cast("string").cast("binary"), F.lit(b""))).join(by_set, "set", "left").select("key", F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key")).alias("component_id"))
+
+
+def _across(rows: DataFrame, sets: DataFrame, grouped: DataFrame, t: Threshold) -> DataFrame:
+    """``grouped`` with the links between parts of the divided groups: rows (lead, id, n, parts, part).
+
+    Sets outside a group's largest component are dealt out too, to bundles, and each
+    bundle meets each part; a group that is one component by now is done.
+    """
+    spark = rows.sparkSession
+    now = rows.join(grouped.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    kinds = now.groupBy("lead", "component").agg(F.count("*").alias("times"), F.sum("n").alias("shingles"))
+    main = kinds.groupBy("lead").agg(F.max(F.struct("times", "component")).alias("m"), F.sum("shingles").alias("all"), F.max_by("shingles", F.struct("times", "component")).alias("most")).where("`all` > most")
+    main = main.select("lead", F.col("m.component").alias("main"), ((F.col("all") - F.col("most")) / PART_SHINGLES + 1).cast("int").alias("bundles"))
+    open_ = store.saved(now.join(main, "lead"), "open")
+    place = F.col("part") * F.col("bundles") + F.col("bundle")
+    asked = open_.withColumn("bundle", F.explode(F.sequence(F.lit(0), F.col("bundles") - 1))).select("lead", place.alias("part"), "id", "n", "component", F.lit(False).alias("ask"))
+    asks = open_.where("component <> main").withColumn("bundle", F.pmod(F.xxhash64("id", F.lit(1)), F.col("bundles")).cast("int"))
+    asks = asks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("lead", place.alias("part"), "id", "n", "component", F.lit(True).alias("ask"))
+    both = asked.unionByName(asks)
+    total = both.agg(F.sum("n")).first()[0]
+    if not total:
+        store.dropped(open_)
+        return grouped
+    links = _links(both.drop("n"), sets, max(store.parallelism(spark), int(total) // BLOCK_SHINGLES), t)
+    out = store.saved(components(links.unionByName(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")))), "components")
+    store.dropped(open_, links, grouped)
+    return out
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
-    """One document of each linked group, that with the least key; rows repeated whole count once.
+    """One document of each linked group, that with the least key; of rows with equal key and text one stays.
 
-    Documents without a key belong to no group and stay.
+    That is the least by the other columns' JSON. Documents without a key belong to no group and stay.
     """
-    extra = linked(docs.where(F.col(key).isNotNull()), key, text, **how).where(F.col("key") != F.col("component_id")).select(F.col("key").alias(key)).distinct()
-    return docs.join(extra, key, "left_anti").select(*[f"`{c}`" for c in docs.columns]).dropDuplicates([key, text])
+    extra = linked(docs.where(F.col(key).isNotNull()).select(key, text), key, text, **how).where(F.col("key") != F.col("component_id")).select(F.col("key").alias(key)).distinct()
+    kept = docs.join(extra, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    often = docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
+    place = F.row_number().over(Window.partitionBy(f"`{key}`", F.sha2(F.coalesce(text, F.lit("")), 256), F.col(text).isNull()).orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))))
+    return kept.join(often, key, "left_anti").select(*[f"`{c}`" for c in docs.columns]).unionByName(kept.join(often, key, "left_semi").select(*[f"`{c}`" for c in docs.columns], place.alias("__place")).where("__place = 1").drop("__place"))

@@ -72,16 +72,45 @@ def test_jaccard_groups_are_exact(spark):
     assert got == groups(texts)
 
 
-def test_prefix_tree_finds_what_pairs_do():
+def test_prefix_tree_counts_what_pairs_share():
     rng = np.random.RandomState(1)
     pool = np.unique(rng.randint(0, 2**60, 80).astype(np.uint64))
-    sets = [np.sort(rng.choice(pool, rng.randint(1, 60), replace=False)) for _ in range(60)]
-    sets = list({s.tobytes(): s for s in sets}.values())
+    base = rng.choice(pool, 50, replace=False)
+    sets = [np.sort(rng.choice(pool, rng.randint(1, 60), replace=False)) for _ in range(40)] + [np.unique(np.r_[base[rng.rand(50) < 0.95], rng.choice(pool, 3)]) for _ in range(40)]
     tree, t = jaccard.PrefixTree(sets), jaccard.Threshold(80, 100)
-    places = np.arange(len(sets))
-    for q in sets:
-        want = {int(tree.place[i]) for i, s in enumerate(sets) if t.met(len(np.intersect1d(q, s)), len(q), len(s))}
-        assert set(tree.linked(q, places, t)) == want
+    everyone = np.arange(len(sets))
+    found = tree.overlaps(everyone, everyone, t)
+    links = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            want, linked = len(np.intersect1d(a, b)), t.met(len(np.intersect1d(a, b)), len(a), len(b))
+            links += linked
+            assert i == j or found[i, j] in ((want,) if linked else (0, want) if t.met(found[i, j], len(a), len(b)) else range(want + 1))
+    assert links > 100
+
+
+def test_jaccard_of_divided_groups(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PART_SHINGLES", 150)
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(500)]
+    base, texts = rng.choices(vocabulary, k=60), []
+    for _ in range(70):  # one family, of which some reach the threshold with few others only
+        own = list(base)
+        for _ in range(rng.randint(0, 5)):
+            own[rng.randrange(len(own))] = rng.choice(vocabulary)
+        texts.append(" ".join(own))
+    got = {r["key"]: (r["n_shingles"], r["component_id"]) for r in jaccard.linked(docs(spark, texts)).collect()}
+    assert got == groups(texts) and 1 < len({c for _, c in got.values()}) < 60
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join((a, b)[i.bit_count() % 2] for i in range(n))
+
+
+def test_jaccard_tells_long_words_apart(spark):
+    texts = [f"{thue_morse(n, *ab)} b c d e" for n in (64, 1024, 4096) for ab in ("ab", "ba")] + [thue_morse(50_000) + " b c d e"] * 2
+    got = {r["key"]: r["component_id"] for r in jaccard.linked(docs(spark, texts)).collect()}
+    assert got == {i: min(i, 6) for i in range(8)}
 
 
 def test_jaccard_of_nothing(spark):
@@ -91,6 +120,16 @@ def test_jaccard_of_nothing(spark):
 def test_deduplicated_keeps_one_of_each_group(spark):
     df = docs(spark, ["a b c d e f", "a b c d e f", "x y z u v w"]).withColumn("block", F.lit(1))
     assert sorted(r["doc_id"] for r in jaccard.deduplicated(df.unionByName(df)).collect()) == [0, 2]
+    twice = df.withColumn("n", F.lit(2)).unionByName(df.withColumn("n", F.lit(1))).unionByName(spark.createDataFrame([(None, "a b c d e f", 7, 3)], "doc_id long, text string, block int, n int"))
+    for part in (1, 5):  # whichever way the rows come
+        assert sorted(tuple(r)[0::3] for r in jaccard.deduplicated(twice.repartition(part)).collect() if r["doc_id"] is not None) == [(0, 1), (2, 1)]
+    assert jaccard.deduplicated(twice).where("doc_id is null").count() == 1
+
+
+def test_jaccard_of_rows_that_repeat_or_lack_a_key(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "z y x w v u"), (4, "z y x w v u"), (None, "a b c d e f"), (5, None), (5, None)]
+    got = sorted((r["key"] or 0, r["n_shingles"], r["component_id"]) for r in jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["key"] is not None)
+    assert got == [(1, 2, 1), (1, 2, 1), (1, 2, 1), (4, 2, 1), (5, 0, 5), (5, 0, 5)]
 
 
 # --- 2: toxicity ---------------------------------------------------------------------------
