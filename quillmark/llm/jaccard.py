@@ -24,12 +24,12 @@ with the other parts.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm import store
@@ -133,12 +133,12 @@ class Threshold:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
 
-    def needed(self, n: int) -> int:
+    def needed(self, n: int | np.ndarray) -> int | np.ndarray:
         """Shingles that the beginnings of a set of n and of a larger set must share: 1 in SHARE, at least 1."""
-        return max(1, n // SHARE)
+        return np.maximum(1, n // SHARE)
 
     def prefix(self, n: int) -> int:
-        return n - -(-self.num * n // self.den) + self.needed(n)
+        return n - -(-self.num * n // self.den) + int(self.needed(n))
 
     def met(self, overlap: int, a: int, b: int) -> bool:
         return self.den * overlap >= self.num * (a + b - overlap)
@@ -148,8 +148,10 @@ class Threshold:
         return (self.num + self.den) * overlap >= self.num * (a + b)
 
 
-POSTING = np.dtype([("token", "u8"), ("set", "u4")])
-NAMED = np.dtype([("name", "S16"), ("n", "u4")])
+#: A shingle of a set, the set's number in the table of names beside it, and how long its list counts as.
+POSTING = np.dtype([("token", "u8"), ("set", "u4"), ("size", "u4")])
+NAMED = np.dtype([("name", "V16"), ("n", "u4"), ("degree", "u4")])
+DEALT = "block int, rows binary, sets binary"
 
 
 def _spread(base: int) -> np.ndarray:
@@ -157,8 +159,51 @@ def _spread(base: int) -> np.ndarray:
     return np.maximum(1, (base << np.arange(64).clip(0, 40)) // LIST_ROWS)
 
 
+def _packed(rows: np.ndarray, named: np.ndarray, block: np.ndarray) -> pa.Table:
+    """Rows (block, rows, sets): the postings of each block, with the names that they refer to."""
+    order = np.argsort(block, kind="stable")
+    rows, block = rows[order], block[order]
+    first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
+    postings, sets = [], []
+    for a, z in zip(first.tolist(), [*first[1:].tolist(), len(block)], strict=False):
+        part = rows[a:z].copy()
+        own, part["set"] = np.unique(part["set"], return_inverse=True)
+        postings.append(part.tobytes())
+        sets.append(named[own].tobytes())
+    return pa.table({"block": pa.array(block[first], pa.int32()), "rows": pa.array(postings, pa.binary()), "sets": pa.array(sets, pa.binary())})
+
+
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All postings of some packed rows, and the distinct sets that they refer to."""
+    rows, names, first = [], [], 0
+    for blob, sets in zip(table.column("rows").to_pylist(), table.column("sets").to_pylist(), strict=True):
+        part = np.frombuffer(blob, POSTING).copy()
+        part["set"] += first
+        rows.append(part)
+        names.append(np.frombuffer(sets, NAMED))
+        first += len(names[-1])
+    named, made = np.concatenate(names), np.concatenate(rows)
+    half = np.ascontiguousarray(named["name"]).view(np.uint64).reshape(-1, 2)
+    order = np.lexsort((half[:, 1], half[:, 0]))
+    half = half[order]
+    new = np.r_[True, (half[1:] != half[:-1]).any(axis=1)]
+    at = np.empty(len(order), np.int64)
+    at[order] = np.cumsum(new) - 1
+    made["set"] = at[made["set"]]
+    return made, named[order[new]]
+
+
+def _names(named: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(named), [None, pa.py_buffer(np.ascontiguousarray(named["name"]).tobytes())]).cast(pa.binary())
+
+
+def _number(named: np.ndarray) -> np.ndarray:
+    """64 bits of every set's name, to deal and to order by."""
+    return np.ascontiguousarray(named["name"]).view(np.uint64)[::2]
+
+
 def postings(docs: DataFrame, text: str, k: int, t: Threshold, counts: np.ndarray, blocks: int) -> DataFrame:
-    """Rows (block, rows, sets): the first shingles of every set, dealt by shingle, and the names they refer to.
+    """Packed rows: the first shingles of every set, dealt by shingle.
 
     A list that the counts call very long is dealt over several blocks, by set.
     """
@@ -167,98 +212,75 @@ def postings(docs: DataFrame, text: str, k: int, t: Threshold, counts: np.ndarra
     sent = docs.sparkSession.sparkContext.broadcast(levels)  # 2**CELLS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, seen, held, rows = sent.value, set(), [], 0
+        seen, held, rows = set(), [], 0
         for batch in batches:
             for _, sets in _sets(batch.column(0), k):
                 for s in sets:
                     if not len(s) or (name := set_id(s)) in seen:
                         continue
                     seen.add(name)
-                    own = ordered(s, levels)[: t.prefix(len(s))]
+                    own = ordered(s, sent.value)[: t.prefix(len(s))]
                     held.append((own, name, len(s)))
                     rows += len(own)
                 if rows > 400_000:
-                    yield flush(held, levels)
+                    yield from flush(held)
                     held, rows = [], 0
                 if len(seen) > 100_000:
                     seen.clear()
         if held:
-            yield flush(held, levels)
+            yield from flush(held)
 
-    def flush(held: list, levels: np.ndarray) -> pa.RecordBatch:
-        size = np.array([len(x[0]) for x in held])
-        named = np.array([(x[1], x[2]) for x in held], NAMED)
-        made = np.empty(size.sum(), POSTING)
+    def flush(held: list) -> list[pa.RecordBatch]:
+        named = np.array([(x[1], x[2], 0) for x in held], NAMED)
+        made = np.zeros(sum(len(x[0]) for x in held), POSTING)
         made["token"] = np.concatenate([x[0] for x in held])
-        made["set"] = np.repeat(np.arange(len(held)), size)
-        parts = spread[levels[(made["token"] & np.uint64((1 << CELLS) - 1)).astype(np.int64)]].astype(np.uint64)
-        salt = mix(made["token"] + made["set"].astype(np.uint64)) % parts
-        block = (mix(made["token"] + salt) % np.uint64(blocks)).astype(np.int64)
-        order = np.argsort(block, kind="stable")
-        cut = np.searchsorted(block[order], np.arange(blocks + 1))
-        made = made[order]
-        full = np.flatnonzero(np.diff(cut))
-        rows, sets = [], []
-        for i in full:
-            part = made[cut[i] : cut[i + 1]].copy()
-            own, at = np.unique(part["set"], return_inverse=True)
-            part["set"] = at
-            rows.append(part.tobytes())
-            sets.append(named[own].tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(rows, pa.binary()), pa.array(sets, pa.binary())], ["block", "rows", "sets"])
-
-    return docs.select(text).mapInArrow(run, "block int, rows binary, sets binary")
-
-
-def lists_of(dealt: DataFrame, counts: np.ndarray) -> DataFrame:
-    """Saved rows (token, own, n): the sets of every list of two or more; lists of one set are left out."""
-    levels, base = levels_of(counts)
-    spread = _spread(base) > 1
-    sent = dealt.sparkSession.sparkContext.broadcast(levels)
-
-    def run(table: pa.Table) -> pa.Table:
-        rows, names, first = [], [], 0
-        for blob, sets in zip(table.column("rows").to_pylist(), table.column("sets").to_pylist(), strict=True):
-            part = np.frombuffer(blob, POSTING).copy()
-            part["set"] += first
-            rows.append(part)
-            names.append(np.frombuffer(sets, NAMED))
-            first += len(names[-1])
-        named, at = np.unique(np.concatenate(names), return_inverse=True)
-        rows = np.concatenate(rows)
-        rows["set"] = at[rows["set"]]
-        rows = rows[np.lexsort((rows["set"], rows["token"]))]
-        same = np.zeros(len(rows), bool)
-        same[1:] = (rows["token"][1:] == rows["token"][:-1]) & (rows["set"][1:] == rows["set"][:-1])
-        rows = rows[~same]
-        start = np.flatnonzero(np.r_[True, rows["token"][1:] != rows["token"][:-1]])
-        size = np.diff(np.r_[start, len(rows)])
-        split = spread[sent.value[(rows["token"] & np.uint64((1 << CELLS) - 1)).astype(np.int64)]]
-        kept = rows[(np.repeat(size, size) > 1) | split]
-        own = named[kept["set"]]
-        blob = np.ascontiguousarray(own["name"]).tobytes()
-        return pa.table({"token": kept["token"].astype(np.int64), "own": pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(kept), [None, pa.py_buffer(blob)]).cast(pa.binary()), "n": own["n"].astype(np.int64)})
+        made["set"] = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
+        parts = spread[sent.value[(made["token"] & np.uint64((1 << CELLS) - 1)).astype(np.int64)]].astype(np.uint64)
+        salt = _number(named)[made["set"]] % parts
+        return _packed(made, named, (mix(made["token"] + salt) % np.uint64(blocks)).astype(np.int64)).to_batches()
 
-    return store.saved(dealt.groupBy("block").applyInArrow(run, "token long, own binary, n long"), "lists")
+    return docs.select(text).mapInArrow(run, DEALT)
 
 
-def needed(n: Column) -> Column:
-    """``Threshold.needed`` of a size as a column."""
-    return F.greatest(F.lit(1), F.floor(n / SHARE)).cast("long")
+def thinned(dealt: DataFrame, t: Threshold, counts: np.ndarray, blocks: int) -> DataFrame:
+    """Saved packed rows: the lists of two sets or more, without each set's longest ones; block -1 has the divided lists.
 
+    A set leaves one list less than the smallest set needs that it can link with. In
+    the order of list length, what two sets leave out of the lists that both are in
+    are the first of these; the larger set leaves more, and that is fewer than the
+    smaller one needs, so a list of both remains. The length of a divided list is
+    the counts' estimate: any order does that is the same for all sets.
+    """
+    levels, base = levels_of(counts)
+    spread = _spread(base)
+    sent = dealt.sparkSession.sparkContext.broadcast(levels)
 
-def thinned(lists: DataFrame, t: Threshold) -> DataFrame:
-    """Saved rows (token, own, n, degree) without each set's longest lists: one less than the smallest set needs that it can link with.
+    def level(rows: np.ndarray) -> np.ndarray:
+        return sent.value[(rows["token"] & np.uint64((1 << CELLS) - 1)).astype(np.int64)]
 
-    In the order of list length, what two sets leave out of the lists that both are
-    in are the first of these; the larger set leaves more, and that is fewer than the
-    smaller one needs, so a list of both remains.
-    """
-    long = lists.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-    rows = lists.join(long, "token")
-    place = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("size"), "token"))
-    rows = rows.withColumn("place", place).where(F.col("place") >= needed(F.ceil(F.col("n") * t.num / t.den)))
-    return store.saved(rows.withColumn("degree", F.count("*").over(Window.partitionBy("own"))).select("token", "own", "n", "degree"), "thin")
+    def lists(table: pa.Table) -> pa.Table:
+        rows, named = _unpacked(table)
+        rows = rows[np.lexsort((rows["set"], rows["token"]))]
+        rows = rows[np.r_[True, (rows["token"][1:] != rows["token"][:-1]) | (rows["set"][1:] != rows["set"][:-1])]]
+        first = np.flatnonzero(np.r_[True, rows["token"][1:] != rows["token"][:-1]])
+        length = np.diff(np.r_[first, len(rows)])
+        own = level(rows)
+        rows["size"] = np.where(spread[own] > 1, np.minimum(base << own.astype(np.int64).clip(0, 40), 2**32 - 1), np.repeat(length, length))
+        rows = rows[rows["size"] > 1]
+        return _packed(rows, named, (_number(named)[rows["set"]] % np.uint64(blocks)).astype(np.int64))
+
+    def kept(table: pa.Table) -> pa.Table:
+        rows, named = _unpacked(table)
+        rows = rows[np.lexsort((rows["token"], -rows["size"].astype(np.int64), rows["set"]))]
+        first = np.flatnonzero(np.r_[True, rows["set"][1:] != rows["set"][:-1]])
+        place = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
+        left = t.needed(-(-t.num * named["n"].astype(np.int64) // t.den)) - 1
+        rows = rows[place >= left[rows["set"]]]
+        named = named.copy()
+        named["degree"] = np.bincount(rows["set"], minlength=len(named))
+        return _packed(rows, named, np.where(spread[level(rows)] > 1, -1, (mix(rows["token"].copy()) % np.uint64(blocks)).astype(np.int64)))
+
+    return store.saved(dealt.groupBy("block").applyInArrow(lists, DEALT).groupBy("block").applyInArrow(kept, DEALT), "thin")
 
 
 def members_of(thin: DataFrame, t: Threshold) -> DataFrame:
@@ -267,8 +289,26 @@ def members_of(thin: DataFrame, t: Threshold) -> DataFrame:
     A group is the union of the lists that have the same leading member, that with the
     most lists; so sets that share a list share a group.
     """
-    lead = thin.groupBy("token").agg(F.max(F.struct("degree", "own")).alias("h"), F.count("*").alias("size")).where("size > 1").select("token", F.col("h.own").alias("lead"))
-    rows = thin.join(lead, "token").select("lead", "own", "n").distinct()
+    def groups(table: pa.Table) -> pa.Table:
+        rows, named = _unpacked(table)
+        rows = rows[np.lexsort((rows["set"], named["degree"][rows["set"]], rows["token"]))]
+        last = np.flatnonzero(np.r_[rows["token"][1:] != rows["token"][:-1], True])
+        length = np.diff(np.r_[-1, last])
+        lead = np.repeat(rows["set"][last], length).astype(np.int64)
+        both = np.unique((lead << 32 | rows["set"])[np.repeat(length, length) > 1])
+        return pa.table({"lead": _names(named[both >> 32]), "own": _names(named[both & (2**32 - 1)]), "n": named["n"][both & (2**32 - 1)].astype(np.int64)})
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                rows, named = _unpacked(pa.Table.from_batches([batch.slice(i, 1)]))
+                own = named[rows["set"]]
+                yield pa.RecordBatch.from_arrays([pa.array(rows["token"].astype(np.int64)), _names(own), pa.array(own["n"].astype(np.int64)), pa.array(own["degree"].astype(np.int64))], ["token", "own", "n", "degree"])
+
+    rows = thin.where("block >= 0").groupBy("block").applyInArrow(groups, "lead binary, own binary, n long")
+    hot = thin.where("block < 0").mapInArrow(single, "token long, own binary, n long, degree long")
+    lead = hot.groupBy("token").agg(F.max(F.struct("degree", "own")).alias("h")).select("token", F.col("h.own").alias("lead"))
+    rows = rows.unionByName(hot.join(lead, "token").select("lead", "own", "n")).distinct()
     # Sizes that fit are at most one band apart; the bands are a little wider than that.
     rows = store.saved(rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(t.den / t.num * 1.001))).cast("int")), "near")
     bands = rows.groupBy("lead", "band").agg(F.count("*").alias("times"))
@@ -418,31 +458,8 @@ def joining(sets: list[np.ndarray], label: np.ndarray, ask: np.ndarray, t: Thres
     return out
 
 
-def _links(rows: DataFrame, sets: DataFrame, blocks: int, t: Threshold) -> DataFrame:
-    """Saved links (a, b) that join components within each part: rows (lead, part, id, component, ask), sets (id, shingles)."""
-    def run(table: pa.Table) -> pa.Table:
-        lead, part, id_, component = (table.column(c).to_numpy() for c in ("lead", "part", "id", "component"))
-        ask, shingles = table.column("ask").to_numpy(), table.column("shingles").combine_chunks()
-        order = np.lexsort((id_, ~ask, part, lead))
-        new = np.r_[True, (lead[order][1:] != lead[order][:-1]) | (part[order][1:] != part[order][:-1])]
-        found: list[tuple[int, int]] = []
-        for at in np.split(order, np.flatnonzero(new)[1:]):
-            # A set may stand in a part both as one that asks and as one that is asked.
-            at = at[np.r_[True, id_[at][1:] != id_[at][:-1]]] if len(at) else at
-            if len(at) > 1:
-                sets = [np.frombuffer(shingles[i].as_buffer(), np.uint64) for i in at.tolist()]
-                found += [(id_[at[a]], id_[at[b]]) for a, b in joining(sets, np.unique(component[at], return_inverse=True)[1], ask[at], t)]
-        both = np.array(found, np.int64).reshape(-1, 2)
-        return pa.table({"a": both[:, 0], "b": both[:, 1]})
-
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("lead", "part"), F.lit(blocks)).cast("int")).join(sets, "id")
-    return store.saved(dealt.groupBy("block").applyInArrow(run, "a long, b long"), "links")
-
-
-def _chosen_sets(docs: DataFrame, chosen: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """Saved rows (id, shingles) of the sets in ``chosen`` (set, key, id), made again from one document each."""
-    spark = docs.sparkSession
-
+def _marked(df: DataFrame) -> np.ndarray:
+    """A fixed-size filter of the long column ``key``: bits, of which a key's own is set."""
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = _Counts()
         for batch in batches:
@@ -450,8 +467,21 @@ def _chosen_sets(docs: DataFrame, chosen: DataFrame, key: str, text: str, k: int
         cells = list(counts.rows())
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in cells], pa.int32()), pa.array([b for _, b in cells], pa.binary())], ["cell", "counts"])
 
-    # A fixed-size filter of the chosen keys spares hashing and moving the other texts; the join below is exact.
-    sent = spark.sparkContext.broadcast(np.packbits(_summed(chosen.select("key").mapInArrow(marks, "cell int, counts binary")) > 0))
+    return np.packbits(_summed(df.select("key").mapInArrow(marks, "cell int, counts binary")) > 0)
+
+
+def _links(rows: DataFrame, chosen: DataFrame, docs: DataFrame, key: str, text: str, k: int, t: Threshold) -> DataFrame:
+    """Saved links (a, b) that join components within each part: rows (lead, part, id, n, component, ask), chosen (set, key, id).
+
+    The sets are made again from the texts of one document each, so that only sets in
+    some group travel.
+    """
+    spark = docs.sparkSession
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    blocks = max(store.parallelism(spark), int(total) // BLOCK_SHINGLES)
+    places = F.collect_list(F.struct("lead", "part", "component", "ask", F.pmod(F.xxhash64("lead", "part"), F.lit(blocks)).cast("int").alias("block")))
+    wanted = store.saved(rows.groupBy("id").agg(places.alias("places")).join(chosen, "id"), "wanted")
+    sent = spark.sparkContext.broadcast(_marked(wanted))  # spares hashing and moving the other texts; the join below is exact
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(sent.value).astype(bool)
@@ -462,8 +492,26 @@ def _chosen_sets(docs: DataFrame, chosen: DataFrame, key: str, text: str, k: int
             for first, sets in _sets(batch.column(1), k):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array([set_id(s) if len(s) else None for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "set", "shingles"])
 
+    def run(table: pa.Table) -> pa.Table:
+        lead, part, id_, component, ask = (table.column(c).to_numpy() for c in ("lead", "part", "id", "component", "ask"))
+        shingles = table.column("shingles").combine_chunks()
+        order = np.lexsort((~ask, id_, part, lead))
+        new = np.r_[True, (lead[order][1:] != lead[order][:-1]) | (part[order][1:] != part[order][:-1])]
+        found: list[tuple[int, int]] = []
+        for at in np.split(order, np.flatnonzero(new)[1:]):
+            # A set may stand in a part twice, once as one that asks; and once for every row that repeats its document.
+            at = at[np.r_[True, id_[at][1:] != id_[at][:-1]]]
+            if len(at) > 1:
+                sets = [np.frombuffer(shingles[i].as_buffer(), np.uint64) for i in at.tolist()]
+                found += [(id_[at[a]], id_[at[b]]) for a, b in joining(sets, np.unique(component[at], return_inverse=True)[1], ask[at], t)]
+        both = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+
     sets = docs.select(F.col(key).cast("long").alias("key"), text).mapInArrow(made, "key long, `set` binary, shingles binary")
-    return store.saved(sets.join(chosen, ["key", "set"]).select("id", "shingles").dropDuplicates(["id"]), "shingles")
+    dealt = sets.hint("merge").join(wanted, ["key", "set"]).select("id", "shingles", F.explode("places").alias("p")).select("id", "shingles", "p.*")
+    out = store.saved(dealt.groupBy("block").applyInArrow(run, "a long, b long"), "links")
+    store.dropped(wanted)
+    return out
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -483,30 +531,27 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     held = known.where("`set` is not null and key is not null").groupBy("set").agg(F.min("key").alias("key"))
     keyed = docs.where(F.col(key).isNotNull())
     blocks = max(store.parallelism(spark), int(counts.sum()) * (den - num) // den // BLOCK_POSTINGS)
-    lists = lists_of(postings(keyed, text, k, t, counts, blocks), counts)
-    thin = thinned(lists, t)
-    store.dropped(lists)
+    thin = thinned(postings(keyed, text, k, t, counts, blocks), t, counts, blocks)
+    store.tidy(spark)
     members = members_of(thin, t)
     store.dropped(thin)
-    store.tidy(spark)
 
     chosen = store.saved(members.select(F.col("own").alias("set")).distinct().join(held, "set").withColumn("id", F.monotonically_increasing_id()), "chosen")
-    sets = _chosen_sets(keyed, chosen, key, text, k)
     ids = chosen.select("set", "id")
     named = members.join(ids.withColumnRenamed("set", "own"), "own").join(ids.select(F.col("set").alias("lead"), F.col("id").alias("of")), "lead", "left").select(F.coalesce("of", F.xxhash64("lead")).alias("lead"), "id", "n")
     parts = named.groupBy("lead").agg((F.sum("n") / PART_SHINGLES).cast("int").alias("parts"))
     rows = store.saved(named.join(parts, "lead").select("lead", "id", "n", (F.col("parts") + 1).alias("parts"), F.pmod(F.xxhash64("id"), F.col("parts") + 1).cast("int").alias("part")), "dealt")
     store.dropped(members)
+    store.tidy(spark)
     # The leading member stands in every part of its group.
     alone = rows.where("id <> lead").select("lead", "id", "n", "part").unionByName(rows.where("id = lead").select("lead", "id", "n", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
-    total, divided = rows.agg(F.sum("n"), F.max("parts")).first()
-    size = max(store.parallelism(spark), int(total or 0) // BLOCK_SHINGLES)
-    links = _links(alone.select("lead", "part", "id", F.col("id").alias("component"), F.lit(True).alias("ask")), sets, size, t)
+    links = _links(alone.select("*", F.col("id").alias("component"), F.lit(True).alias("ask")), chosen, keyed, key, text, k, t)
+    store.tidy(spark)
     grouped = store.saved(components(links), "components")
     store.dropped(links)
-    if (divided or 0) > 1:
-        grouped = _across(rows.where("parts > 1"), sets, grouped, t)
-    store.dropped(rows, sets)
+    if rows.where("parts > 1").limit(1).count():
+        grouped = _across(rows.where("parts > 1"), grouped, lambda asked: _links(asked, chosen, keyed, key, text, k, t))
+    store.dropped(rows)
     store.tidy(spark)
 
     least = held.join(ids, "set", "left").join(grouped.select(F.col("node").alias("id"), "component"), "id", "left")
@@ -516,13 +561,12 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     return known.withColumn("set", F.coalesce("set", F.col("key").cast("string").cast("binary"), F.lit(b""))).join(by_set, "set", "left").select("key", F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key")).alias("component_id"))
 
 
-def _across(rows: DataFrame, sets: DataFrame, grouped: DataFrame, t: Threshold) -> DataFrame:
+def _across(rows: DataFrame, grouped: DataFrame, links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``grouped`` with the links between parts of the divided groups: rows (lead, id, n, parts, part).
 
     Sets outside a group's largest component are dealt out too, to bundles, and each
     bundle meets each part; a group that is one component by now is done.
     """
-    spark = rows.sparkSession
     now = rows.join(grouped.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     kinds = now.groupBy("lead", "component").agg(F.count("*").alias("times"), F.sum("n").alias("shingles"))
     main = kinds.groupBy("lead").agg(F.max(F.struct("times", "component")).alias("m"), F.sum("shingles").alias("all"), F.max_by("shingles", F.struct("times", "component")).alias("most")).where("`all` > most")
@@ -532,12 +576,7 @@ def _across(rows: DataFrame, sets: DataFrame, grouped: DataFrame, t: Threshold)
     asked = open_.withColumn("bundle", F.explode(F.sequence(F.lit(0), F.col("bundles") - 1))).select("lead", place.alias("part"), "id", "n", "component", F.lit(False).alias("ask"))
     asks = open_.where("component <> main").withColumn("bundle", F.pmod(F.xxhash64("id", F.lit(1)), F.col("bundles")).cast("int"))
     asks = asks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("lead", place.alias("part"), "id", "n", "component", F.lit(True).alias("ask"))
-    both = asked.unionByName(asks)
-    total = both.agg(F.sum("n")).first()[0]
-    if not total:
-        store.dropped(open_)
-        return grouped
-    links = _links(both.drop("n"), sets, max(store.parallelism(spark), int(total) // BLOCK_SHINGLES), t)
+    links = links_of(asked.unionByName(asks))
     out = store.saved(components(links.unionByName(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")))), "components")
     store.dropped(open_, links, grouped)
     return out

@@ -89,8 +89,9 @@ def test_prefix_tree_counts_what_pairs_share():
     assert links > 100
 
 
-def test_jaccard_of_divided_groups(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "PART_SHINGLES", 150)
+@pytest.mark.parametrize(("name", "value"), [("PART_SHINGLES", 150), ("LIST_ROWS", 1)])
+def test_jaccard_of_divided_groups_and_lists(spark, monkeypatch, name, value):
+    monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(500)]
     base, texts = rng.choices(vocabulary, k=60), []
