@@ -24,19 +24,31 @@ from quillmark.llm.units import UnitIds, gathered
 #: Matches in one DuckDB query, and matches remembered by a worker.
 CHUNK, REMEMBERED = 20_000, 500_000
 
+#: A round contracts every pair of a match that has its least rank, from the left; where that
+#: could make a pair of lower rank, only those that stand further from the one before than any
+#: token reaches. USING KEY keeps each match's last round alone.
 _ENCODE = """
-WITH RECURSIVE word(w, tokens, n) AS (
-  SELECT w, list(t ORDER BY p), 0 FROM start GROUP BY w
-  UNION ALL
-  SELECT word.w, word.tokens[:best.p - 1] || [best.made] || word.tokens[best.p + 2:], n + 1
-  FROM word JOIN (
-    SELECT w, min((m.made::BIGINT << 32) | p) AS k, (k & 4294967295)::INTEGER AS p, (k >> 32)::INTEGER AS made
-    FROM (SELECT w, unnest(tokens) AS l, unnest(tokens[2:]) AS r, unnest(range(1, len(tokens) + 1)) AS p FROM word) pair
-    JOIN merges m ON m.l = pair.l AND m.r = pair.r
-    GROUP BY w
-  ) best ON best.w = word.w
+WITH RECURSIVE word(w, tokens) USING KEY (w) AS (
+  SELECT w, list(t ORDER BY p) FROM start GROUP BY w
+  UNION
+  (WITH pair AS (
+    SELECT w, unnest(tokens[:-2]) AS l, unnest(tokens[2:]) AS r, unnest(range(1, len(tokens))) AS p FROM word WHERE len(tokens) > 1
+  ), found AS (
+    SELECT w, p, made, alone FROM pair JOIN merges USING (l, r)
+  ), least AS (
+    SELECT w, p, made, row_number() OVER (PARTITION BY w ORDER BY p) AS k
+    FROM (SELECT *, min(made) OVER (PARTITION BY w) AS low FROM found) WHERE made = low
+    QUALIFY NOT alone OR coalesce(p - lag(p) OVER (PARTITION BY w ORDER BY p) > getvariable('widest'), true)
+  ), contracted AS (
+    SELECT w, p, made FROM least QUALIFY row_number() OVER (PARTITION BY w, p - k ORDER BY p) % 2 = 1
+  ), token AS (
+    SELECT w, unnest(tokens) AS t, unnest(range(1, len(tokens) + 1)) AS p FROM word WHERE w IN (SELECT w FROM contracted)
+  )
+  SELECT w, list(coalesce(c.made, t) ORDER BY p)
+  FROM (SELECT * FROM token ANTI JOIN contracted d ON d.w = token.w AND d.p = token.p - 1) rest LEFT JOIN contracted c USING (w, p)
+  GROUP BY w)
 )
-SELECT w, tokens AS ids FROM word QUALIFY n = max(n) OVER (PARTITION BY w) ORDER BY w
+SELECT w, tokens AS ids FROM word ORDER BY w
 """
 _DECODE = """
 SELECT i.w, unhex(string_agg(hex(v.piece), '' ORDER BY i.p)) AS piece
@@ -58,9 +70,12 @@ class Codec:
         self.find = regex.compile(spelt).findall
         warnings.filterwarnings("ignore", message="Arrow output on a DB-API result")
         self.db = duckdb.connect()
-        self.db.execute("SET threads = 1; SET memory_limit = '400MB'; SET preserve_insertion_order = false")
+        self.db.execute("SET threads = 1; SET memory_limit = '400MB'; SET temp_directory = ''; SET preserve_insertion_order = false")
         merges = [(self.ranks[x[:i]], self.ranks[x[i:]], made) for x, made in self.ranks.items() for i in range(1, len(x)) if x[:i] in self.ranks and x[i:] in self.ranks]
-        self._table("merges", dict(zip("l r made".split(), np.array(merges, np.int32).T, strict=True)))
+        l, r, made = np.array(merges, np.int32).T
+        lower = np.concatenate([l[made < l], r[made < r]])  # tokens that are part of one with a lower rank
+        self._table("merges", {"l": l, "r": r, "made": made, "alone": np.isin(made, lower)})
+        self.db.execute(f"SET VARIABLE widest = {max(map(len, self.ranks))}")
         self._table("vocabulary", {"id": np.fromiter(self.ranks.values(), np.int32), "piece": pa.array(self.ranks, pa.binary())})
         self.byte = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         self._clear()

@@ -131,7 +131,10 @@ def _block(texts: Texts, units: UnitIds, end_id: int, size: int) -> dict[str, np
     angled = np.concatenate([[0], np.cumsum(texts.buf == 60)])
     own = np.flatnonzero(angled[word_ends] > angled[starts])  # special tokens, which case may tell apart
     hashes[own] = mix(texts.spans(starts[own], word_ends[own]) + np.uint64(1))
-    rows = units.look_up(texts, starts, word_ends, hashes)
+    spelt = texts.lowered()
+    for a, b in zip(starts[own].tolist(), word_ends[own].tolist(), strict=True):
+        spelt[a:b] = texts.buf[a:b]
+    rows = units.look_up(texts, starts, word_ends, hashes, spelt)
     lengths = np.insert(units.size[rows], first[1:], 1)
     ends = np.cumsum(lengths)  # of words, and of the id that closes each document
     doc_end = ends[first[1:] + np.arange(texts.n)]

@@ -136,6 +136,10 @@ class Texts:
         del inside, before, after
         return Words(self, starts, ends, self.spans(starts, ends, lower))
 
+    def lowered(self) -> np.ndarray:
+        """The bytes with A-Z in lower case, as an array of their own."""
+        return _LOWER[self.buf]
+
     def count(self, wanted: np.ndarray) -> np.ndarray:
         """Bytes of each text that the table ``wanted`` of 256 marks."""
         total = np.zeros(len(self.buf) + 1, np.int64)
