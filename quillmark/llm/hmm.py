@@ -10,10 +10,10 @@ with c the word's count, and C and V the tokens and distinct words of its class.
 
 Counts of words are exact and cover all training texts: tasks encode their texts
 with dictionaries of their own, the dictionaries' entries meet in buckets of the
-word's hash, and the totals go back to the dictionaries they came from. Baum-Welch
-starts on a bounded sample; each later round adds up expected counts over all
-training texts, partition by partition. Scores come from the scaled forward
-recursion over whole texts.
+word's hash, and the totals go back to the dictionaries they came from. Each round of
+Baum-Welch adds up expected counts over all training texts, each as one whole
+sequence, partition by partition. Scores come from the scaled forward recursion over
+whole texts.
 """
 
 from __future__ import annotations
@@ -31,11 +31,9 @@ from pyspark.sql import functions as F
 from quillmark.llm import store
 from quillmark.llm.text import Texts, mix, slices
 
-CLASSES, STATES, ROUNDS = 4096, 8, 2
-#: Texts of the sample that the first rounds run on, and those rounds.
-SAMPLE, SAMPLE_ROUNDS = 1200, 8
-#: Expected counts are taken over stretches of so many tokens, each started from the state shares.
-STRETCH, TOGETHER = 256, 2048
+CLASSES, STATES, ROUNDS = 4096, 8, 5
+#: Steps of the recursions whose values are held at a time, and tokens that go through them together.
+STRETCH, TOGETHER = 256, 1 << 20
 #: Tokens that share a dictionary.
 CHUNK = 1 << 21
 _END = np.uint64(0x5F3759DF9E3779B9)
@@ -147,10 +145,10 @@ def class_counts(totals: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Start shares, transitions, and emissions by class (CLASSES x STATES); ``share`` is how common states are."""
+    """Start shares, transitions, and emissions by class (CLASSES x STATES)."""
 
-    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, share: np.ndarray):
-        self.start, self.move, self.emit, self.share = start, move, emit, share
+    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
+        self.start, self.move, self.emit = start, move, emit
 
     @staticmethod
     def first(c: np.ndarray, seed: int = 3) -> "Model":
@@ -159,7 +157,7 @@ class Model:
         move = np.full((STATES, STATES), 0.1 / (STATES - 1))
         np.fill_diagonal(move, 0.9)
         even = np.full(STATES, 1 / STATES)
-        return Model(even, move, emit / emit.sum(axis=0), even)
+        return Model(even, move, emit / emit.sum(axis=0))
 
     @staticmethod
     def from_counts(counts: np.ndarray) -> "Model":
@@ -167,47 +165,56 @@ class Model:
         start, move = counts[:STATES] + 0.1, counts[STATES : STATES * (STATES + 1)].reshape(STATES, STATES) + 0.1
         seen = counts[STATES * (STATES + 1) :].reshape(CLASSES, STATES)
         emit = seen + _SMOOTH
-        share = seen.sum(axis=0) + 1
-        return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0), share / share.sum())
+        return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
     def expected(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Expected starts, transitions and emissions over the texts' classes, as one array."""
-        start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES))
-        pieces = [(i == 0, x[i : i + STRETCH]) for x in texts for i in range(0, len(x), STRETCH)]
-        pieces.sort(key=lambda p: -len(p[1]))
-        for lo in range(0, len(pieces), TOGETHER):
-            part = pieces[lo : lo + TOGETHER]
-            self._stretch([p for _, p in part], np.array([f for f, _ in part]), start, move, emit)
-        return np.concatenate([start, (move * self.move).ravel(), emit.ravel()])
+        """Expected starts, transitions and emissions over the texts' classes, as one array.
 
-    def _stretch(self, texts: list[np.ndarray], opens: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
+        The texts go forward together, longest first, and the states at the end of every
+        STRETCH steps are kept; going back, a stretch is run forward again from there.
+        """
+        start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES))
+        texts = sorted(texts, key=len, reverse=True)
         sizes = np.array([len(x) for x in texts])
         flat, begins = np.concatenate(texts).astype(np.int64), np.cumsum(sizes) - sizes
         active = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), "right")  # texts that reach each step
-        seen = [flat[begins[:n] + t] for t, n in enumerate(active)]
-        chance = [self.emit[x] for x in seen]
-        ahead, scale = [], []
-        a = np.where(opens[:, None], self.start, self.share) * chance[0]
-        for t, n in enumerate(active):
-            if t:
-                a = (a[:n] @ self.move) * chance[t]
+        entries: list[np.ndarray | None] = [None]
+        for t in range(0, len(active) - STRETCH, STRETCH):
+            entries.append(self._ahead(flat, begins, active, t, t + STRETCH, entries[-1])[0][-1])
+        back = np.ones((len(texts), STATES))
+        for entry in reversed(entries):
+            low = (len(entries) - 1) * STRETCH
+            entries.pop()
+            high = min(low + STRETCH, len(active))
+            ahead, chance, scale, seen = self._ahead(flat, begins, active, low, high, entry)
+            for t in range(high - 1, low - 1, -1):
+                n, i = active[t], t - low
+                weight = ahead[i] * back[:n]
+                if t:
+                    here = chance[i] * back[:n] / scale[i]
+                    move += (ahead[i - 1] if i else entry)[:n].T @ here
+                    back[:n] = here @ self.move.T
+                else:
+                    start += weight.sum(axis=0)
+                ahead[i] = weight
+            every, weights = np.concatenate(seen), np.concatenate(ahead)
+            for k in range(STATES):
+                emit[:, k] += np.bincount(every, weights[:, k], minlength=CLASSES)
+        return np.concatenate([start, (move * self.move).ravel(), emit.ravel()])
+
+    def _ahead(self, flat: np.ndarray, begins: np.ndarray, active: np.ndarray, low: int, high: int, a: np.ndarray | None) -> tuple[list, list, list, list]:
+        """Scaled forward values of the steps from ``low`` to ``high``, with chances, scales and classes; ``a`` has those before."""
+        ahead, chance, scale, seen = [], [], [], []
+        for t in range(low, high):
+            n = active[t]
+            seen.append(flat[begins[:n] + t])
+            chance.append(self.emit[seen[-1]])
+            a = (a[:n] @ self.move if t else self.start) * chance[-1]
             total = a.sum(axis=1, keepdims=True)
             a = a / total
             ahead.append(a)
             scale.append(total)
-        back = np.ones((len(texts), STATES))
-        for t in range(len(active) - 1, -1, -1):
-            n = active[t]
-            weight = ahead[t] * back[:n]
-            if t:
-                here = chance[t] * back[:n] / scale[t]
-                move += ahead[t - 1][:n].T @ here
-                back[:n] = here @ self.move.T
-            ahead[t] = weight
-        start += ahead[0][opens].sum(axis=0)
-        every, weights = np.concatenate(seen), np.concatenate(ahead)
-        for k in range(STATES):
-            emit[:, k] += np.bincount(every, weights[:, k], minlength=CLASSES)
+        return ahead, chance, scale, seen
 
     def log10(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 of each text's exact probability, as a sequence of classes."""
@@ -227,14 +234,10 @@ class Model:
 
 
 def fitted(rows: DataFrame, c: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over all training texts, from a start on SAMPLE of them."""
+    """Baum-Welch over all training texts; without any, the smoothed start."""
     texts = rows.where("bucket is null and not held_out and octet_length(classes) > 0")
     model = Model.first(c)
-    chosen = texts.select("key", "chunk", F.xxhash64("key").alias("h")).orderBy("h", "chunk").limit(SAMPLE).select("key", "chunk")
-    few = [np.frombuffer(r["classes"], np.uint16) for r in texts.join(F.broadcast(chosen), ["key", "chunk"], "left_semi").select("key", "classes").orderBy("key").collect()]
-    for _ in range(SAMPLE_ROUNDS if few else 0):
-        model = Model.from_counts(model.expected(few))
-    for _ in range(rounds if few else 0):
+    for _ in range(rounds if c.any() else 0):
         sent = rows.sparkSession.sparkContext.broadcast(model)  # CLASSES x STATES numbers
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -243,7 +246,7 @@ def fitted(rows: DataFrame, c: np.ndarray, rounds: int = ROUNDS) -> Model:
                 for x in batch.column(0):
                     held.append(np.frombuffer(x.as_py(), np.uint16))
                     size += len(held[-1])
-                    if size > 1 << 19:
+                    if size > TOGETHER:
                         counts, held, size = counts + sent.value.expected(held), [], 0
             if held:
                 counts = counts + sent.value.expected(held)
@@ -266,7 +269,7 @@ def scored(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "
     row repeated is counted and scored again. Without training texts every word is
     unknown, and the model is its smoothed start. Scores are log10 of probabilities.
     """
-    buckets = store.parallelism(docs.sparkSession)
+    buckets = max(store.parallelism(docs.sparkSession), store.plan_bytes(docs) >> 23)
     rows = encoded(docs, key, text, held_out, buckets)
     totals = totals_of(rows, buckets)
     c, v = class_counts(totals)

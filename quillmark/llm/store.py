@@ -55,6 +55,12 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Spark's estimate of the bytes of ``df``: files know their sizes; 0 where a plan's is unknown."""
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return found if found < 1 << 55 else 0
+
+
 def tidy(spark: SparkSession) -> None:
     """Let the driver's cleaner drop the shuffle files of plans that are done with.
 
