@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,13 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_UNQUOTED = re.compile(r"""[^'">]*""")
 _NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _LETTERS = re.compile(r"[a-z]+")
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
-_RAW = frozenset("script style template textarea title iframe noframes xmp svg math select".split())
+_RAW = frozenset("script style template textarea title iframe noframes xmp".split())
+#: Elements that may hold others of their kind, and none of whose text is the page's; a block element ends them.
+_HIDDEN = frozenset("svg math select".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 _SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table", "thead", "tbody", "tfoot")), "td": ("td th", ("tr",)), "th": ("td th", ("tr",))}
 #: Elements that may stand in a head; any other start tag, or text, ends it.
@@ -34,38 +38,96 @@ _HEAD = frozenset("base basefont bgsound head html link meta noframes noscript s
 _CUES = re.compile(r"©|copyright|rights reserved|cookie|subscribe|newsletter|sign in|log in|register|share this|advert|sponsored|comment|reply|related|read more|privacy|terms of|menu|search", re.I)
 
 
+class Place:
+    """An open element: its tag, and the tags and names of it and all elements around it."""
+
+    def __init__(self, tag: str, words: tuple[str, ...], around: "Place | None"):
+        self.tag = tag
+        tags, names = (around.tags, around.names) if around else (frozenset(), frozenset())
+        self.tags = tags if tag in tags else tags | {tag}
+        self.names = names if names.issuperset(words) else names | set(words)
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    place: Place | None
     linked: float
     features: list[str] = field(default_factory=list)
 
 
+class _Scanner:
+    """Tags of a page in order, in one pass: no part is searched twice, however many tags stay open."""
+
+    def __init__(self, page: str):
+        self.page, self.lenient = page, False
+        self.last = {c: page.rfind(c) for c in "'\">"}
+
+    def end(self, at: int) -> int:
+        """Where the tag whose attributes begin at ``at`` ends, after its ``>``; -1 if it never does.
+
+        A ``>`` in quotes does not count. Once that leads past the page's end, the
+        rest of its tags end at their first ``>``.
+        """
+        start = at
+        while not self.lenient and at <= self.last[">"]:
+            at = _UNQUOTED.match(self.page, at).end()
+            if at >= len(self.page):
+                break
+            if self.page[at] == ">":
+                return at + 1
+            if at >= self.last[self.page[at]]:
+                break
+            at = self.page.find(self.page[at], at + 1) + 1
+        if self.last[">"] < start:
+            return -1
+        self.lenient = True
+        return self.page.find(">", start) + 1
+
+
 def blocks_of(page: str) -> list[Block]:
     """The leaf blocks of a page in order: text with references decoded and white space made single."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Place] = []
+    opened: Counter[str] = Counter()
     text: list[str] = []
-    plain = link = 0
+    raw_ends: dict[str, bool] = {}
+    places: dict[tuple, Place] = {}  # siblings of the same tag and names share a place
+    plain = link = at = 0
     inside_link = False
-    at = 0
+    scan = _Scanner(page)
 
     def flush() -> None:
         nonlocal plain, link
         if text:
             whole = " ".join("".join(text).split())
             if whole:
-                out.append(Block(whole, tuple(stack), link / max(1, plain)))
+                out.append(Block(whole, stack[-1] if stack else None, link / max(1, plain)))
             text.clear()
         plain = link = 0
 
+    def shut(names: tuple[str, ...], within: tuple[str, ...] = ()) -> None:
+        if any(opened[x] for x in names):
+            for x in _shut(stack, names, within):
+                opened[x.tag] -= 1
+
+    def push(name: str, words: tuple[str, ...]) -> None:
+        around = stack[-1] if stack else None
+        key = (id(around), name, words)
+        if key not in places:
+            places[key] = Place(name, words, around)
+        stack.append(places[key])
+        opened[name] += 1
+
+    def hidden() -> bool:
+        return any(opened[x] for x in _HIDDEN)
+
     def add(raw: str) -> None:
         nonlocal plain, link
-        if raw:
+        if raw and not hidden():
             raw = html.unescape(raw) if "&" in raw else raw
-            if stack and stack[-1][0] == "head" and raw.strip():
-                _shut(stack, ("head",), ())
+            if stack and stack[-1].tag == "head" and raw.strip():
+                shut(("head",))
             text.append(raw)
             n = len(raw)
             plain += n
@@ -73,25 +135,41 @@ def blocks_of(page: str) -> list[Block]:
 
     n = len(page)
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = _OPEN.search(page, at)
         if m is None:
             add(page[at:])
             break
         add(page[at : m.start()])
-        at = m.end()
-        name = m.group(2) or m.group(5)
-        if name is None:
+        if m.group(2) is None:
+            comment = m.group().endswith("--")
+            end = page.find("-->" if comment else ">", m.end() - 2 * comment)
+            at = n if end < 0 else end + (3 if comment else 1)
             continue
-        name, closing, rest = name.lower(), bool(m.group(1) or m.group(4)), m.group(3) or m.group(6) or ""
+        end = scan.end(m.end())
+        if end < 0:  # no tag ends any more
+            add(page[m.start() :])
+            break
+        at, rest = end, page[m.end() : end - 1]
+        name, closing = m.group(2).lower(), bool(m.group(1))
         if not closing and name not in _HEAD:
-            _shut(stack, ("head",), ())
+            shut(("head",))
         if name in _RAW and not closing:
             if not rest.endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else n
-            if name not in ("svg", "math"):
+                found = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at) if raw_ends.get(name, True) else None
+                raw_ends[name] = found is not None
+                at = found.end() if found else n
+            if not hidden():
                 flush()
             continue
+        if name in _HIDDEN or hidden():
+            if closing and opened[name] and name in _HIDDEN:
+                shut((name,))
+            elif not closing and name in _HIDDEN and not rest.endswith("/"):
+                push(name, ())
+            if name not in _CLOSES_P or closing:
+                continue
+            while hidden():
+                shut(tuple(_HIDDEN))
         if name in _INLINE:
             if name == "br":
                 add(" ")
@@ -101,30 +179,32 @@ def blocks_of(page: str) -> list[Block]:
         flush()
         inside_link = False
         if closing:
-            if any(x[0] == name for x in stack):
-                while stack.pop()[0] != name:
-                    pass
+            shut((name,))
             continue
-        if name in _CLOSES_P and any(x[0] == "p" for x in stack):
-            _shut(stack, ("p",), ("article", "aside", "div", "section", "td", "th", "li", "button", "object"))
+        if name in _CLOSES_P:
+            shut(("p",), ("article", "aside", "div", "section", "td", "th", "li", "button", "object"))
         elif name in _SIBLINGS:
             same, within = _SIBLINGS[name]
-            _shut(stack, tuple(same.split()), within)
+            shut(tuple(same.split()), within)
         if name not in _VOID and not rest.endswith("/"):
             words = tuple(w for found in _NAMED.findall(rest) for w in _LETTERS.findall("".join(found).lower())) if "=" in rest else ()
-            stack.append((name, words))
+            push(name, words)
+    while hidden():
+        shut(tuple(_HIDDEN))
     flush()
-    return [b for b in out if not any(tag == "head" for tag, _ in b.path)]
+    return [b for b in out if b.place is None or "head" not in b.place.tags]
 
 
-def _shut(stack: list, names: tuple[str, ...], within: tuple[str, ...]) -> None:
-    """Close the innermost open element of ``names`` unless one of ``within`` is opened inside it."""
+def _shut(stack: list[Place], names: tuple[str, ...], within: tuple[str, ...]) -> list[Place]:
+    """Close the innermost open element of ``names``, and what is open in it, unless one of ``within`` is."""
     for i in range(len(stack) - 1, -1, -1):
-        if stack[i][0] in names:
+        if stack[i].tag in names:
+            closed = stack[i:]
             del stack[i:]
-            return
-        if stack[i][0] in within:
-            return
+            return closed
+        if stack[i].tag in within:
+            break
+    return []
 
 
 def describe(blocks: list[Block]) -> list[list[str]]:
@@ -132,10 +212,10 @@ def describe(blocks: list[Block]) -> list[list[str]]:
     out, before = [], None
     for b in blocks:
         found = ["bias"]
-        tags = {tag for tag, _ in b.path if tag not in ("html", "body")}
+        tags = b.place.tags - {"html", "body"} if b.place else frozenset()
         found += [f"in {t}" for t in tags]
-        found.append(f"parent {b.path[-1][0] if b.path else '-'}")
-        found += [f"name {w}" for w in {w for _, words in b.path for w in words}]
+        found.append(f"parent {b.place.tag if b.place else '-'}")
+        found += [f"name {w}" for w in (b.place.names if b.place else ())]
         if not tags & {"article", "main"}:
             found.append("loose")
         size = b.text.count(" ") + 1
@@ -144,10 +224,10 @@ def describe(blocks: list[Block]) -> list[list[str]]:
             found.append("linked")
         if b.text[-1] in ".!?":
             found.append("stop")
-        found += {f"cue {c.lower()}" for c in _CUES.findall(b.text[:400])} if size < 40 else set()
-        if before == b.path:
+        found += {f"cue {c.lower()}" for c in _CUES.findall(b.text)} if size < 40 else set()
+        if out and before is b.place:
             found.append("same place")
-        before = b.path
+        before = b.place
         out.append(found)
     return out
 
