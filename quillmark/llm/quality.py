@@ -192,11 +192,11 @@ def judged(docs: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:
 
 
 def filtered(docs: DataFrame, labels: DataFrame, label: str, stratum: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass the base rules and the learned cutoffs, with their own columns.
-
-    Columns must not be named like one of COUNTS.
-    """
-    counts = store.saved(counted(docs.select(key, stratum, text), text), "quality")
-    cutoffs = thresholds(counts, labels, label, stratum, key)
+    """The rows of ``docs`` that pass the base rules and the learned cutoffs, with their own columns, whatever their names."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    key, stratum, text = (f"c{names.index(c)}" for c in (key, stratum, text))
+    counts = store.saved(counted(plain.select(key, stratum, text), text), "quality")
+    cutoffs = thresholds(counts, labels.select(F.col(f"`{names[int(key[1:])]}`").alias(key), label), label, stratum, key)
     store.dropped(counts)
-    return counted(docs, text, with_text=True).where(~base_failed()).transform(judged, cutoffs, stratum).where("not __rejected").select(*[f"`{c}`" for c in docs.columns])
+    return counted(plain, text, with_text=True).where(~base_failed()).transform(judged, cutoffs, stratum).where("not __rejected").select(*plain.columns).toDF(*names)

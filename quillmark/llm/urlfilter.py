@@ -130,9 +130,12 @@ def judged(pages: DataFrame, url: str, weights: Sequence[float], cut: float = 0.
     repeated rows each get their verdict. Columns of ``pages`` named like one
     that is added are replaced.
     """
-    host, path = host_of(F.col(url)), path_of(F.col(url))
-    parts = pages.select(*[F.col(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict", "score")], host.alias("host"), path.alias("path"))
+    made = ("host", "path", "rule", "verdict", "score")
+    own = [(f"c{i}", c) for i, c in enumerate(pages.columns) if c not in made]
+    plain = pages.toDF(*[f"c{i}" for i in range(len(pages.columns))])
+    at = F.col(f"c{pages.columns.index(url)}")
+    parts = plain.select(*[c for c, _ in own], host_of(at).alias("host"), path_of(at).alias("path"))
     rule, say = rule_of(F.col("host"), F.col("path"))
-    score = _chance(F.lit(list(weights)), F.col("__buckets"))
-    out = parts.withColumn("__buckets", buckets(F.col("host"), F.col("path"))).withColumn("score", score).drop("__buckets")
-    return out.withColumn("rule", rule).withColumn("verdict", F.coalesce(say, F.when(F.col("score") >= cut, "block").otherwise("allow")))
+    out = parts.withColumn("score", _chance(F.lit(list(weights)), buckets(F.col("host"), F.col("path"))))
+    out = out.withColumn("rule", rule).withColumn("verdict", F.coalesce(say, F.when(F.col("score") >= cut, "block").otherwise("allow")))
+    return out.toDF(*[c for _, c in own], *out.columns[len(own) :])

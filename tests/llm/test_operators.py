@@ -241,12 +241,18 @@ def test_hmm_base_scores_and_forward(spark):
         assert got[i]["score"] < 0
 
 
-def test_hmm_forward_is_a_sum_over_paths_and_counts_add_up():
+def test_hmm_forward_is_a_sum_over_paths_and_counts_add_up(monkeypatch):
     model = hmm.Model.first(np.ones(hmm.CLASSES, np.int64))
     text = np.array([3, 70, 3], np.uint16)
     total = sum(model.start[a] * model.emit[3, a] * model.move[a, b] * model.emit[70, b] * model.move[b, c] * model.emit[3, c] for a, b, c in itertools.product(range(hmm.STATES), repeat=3))
     assert model.log10([text, text[:1]])[0] == pytest.approx(np.log10(total))
     counts = model.expected([text, text])
+    rng = np.random.RandomState(3)
+    model = hmm.Model.from_counts(rng.rand(hmm.STATES * (hmm.STATES + 1) + hmm.CLASSES * hmm.STATES))
+    text = rng.randint(0, 5, 3 * hmm.STRETCH + 7)
+    whole, parts = model.expected([text, text[:9]]), model.expected([text[:9]])
+    monkeypatch.setattr(hmm, "STRETCH", 10_000)
+    assert np.allclose(whole, model.expected([text]) + parts)
     assert counts[: hmm.STATES].sum() == pytest.approx(2) and counts[hmm.STATES : hmm.STATES * (hmm.STATES + 1)].sum() == pytest.approx(4) and counts[hmm.STATES * (hmm.STATES + 1) :].sum() == pytest.approx(6)
 
 
@@ -429,9 +435,47 @@ def test_empty_tables_and_null_rows(spark):
     assert packing.packed(none, public_tokenizers.path("word_bpe_49k.json")).count() == 0
     assert quality.counted(none).count() == 0 and quality.counted(nulls).count() == 2
     labels = spark.createDataFrame([], "doc_id long, quality int")
+    many = spark.createDataFrame([(1, "w " * 30 + " ".join(f"v{i}" for i in range(300)), "en", 777, "x")], "doc_id long, text string, lang string, n_words long, `a.b` string")
+    assert [tuple(r)[3:] for r in quality.filtered(many, labels, "quality", "lang").collect()] == [(777, "x")]
+    page = spark.createDataFrame([("http://h.org/a", 5, 6, "z")], "url string, __buckets int, score int, `a.b` string")
+    judged = urlfilter.judged(page, "url", [0.0] * (urlfilter.BUCKETS + 1)).first()
+    assert (judged["__buckets"], judged["a.b"], judged["host"], judged["score"]) == (5, "z", "h.org", 0.5)
     assert quality.filtered(nulls.withColumn("lang", F.lit(None).cast("string")), labels, "quality", "lang").count() == 0
     pages = none.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"), F.col("text").alias("html"))
     assert warc.archived(pages, "page_id", "url", "html").count() == 0
     assert sorted(r["component_id"] for r in jaccard.linked(docs(spark, [None, "", "a"])).collect()) == [0, 1, 2]
     vectors = spark.createDataFrame([], "id long, vec array<double>")
     assert topk.exact_topk(vectors, vectors, 5).count() == 0
+
+
+def test_units_are_told_apart_by_their_bytes(spark):
+    """Units with equal hashes, and long words that a polynomial hash would take for one."""
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [f"x {thue_morse(1024)} {thue_morse(1024, 'b', 'a')} y", "q" * 20_000, "".join(random.Random(1).choices("etaoinshrdlu", k=3_000)), "Aa aA " * 3]
+    got = {r["doc_id"]: r for r in bpe.encoded(docs(spark, texts), path, public_tokenizers.PATTERN).collect()}
+    for i, t in enumerate(texts):
+        assert got[i]["ids"] == library.encode_ordinary(t) and bytes(got[i]["decoded"]).decode() == t
+    word = public_tokenizers.path("word_bpe_49k.json")
+    pieces = packing.packed(docs(spark, texts), word).collect()
+    for i, t in enumerate(texts):
+        own = sorted((r["start"], bytes(r["ids"])) for r in pieces if r["doc_id"] == i)
+        assert np.frombuffer(b"".join(x for _, x in own), "<u4").tolist() == [*Tokenizer.from_file(word).encode(t, add_special_tokens=False).ids, 1]
+
+
+def test_equal_hashes_do_not_make_units_equal():
+    import pyarrow as pa
+    from quillmark.llm.text import Texts
+    from quillmark.llm.units import UnitIds
+
+    units = UnitIds(lambda raw: (np.array([x[0] for x in raw], np.int32), np.ones(len(raw), np.int64)))
+    for text in ("abcab", "cdbaa"):
+        texts = Texts(pa.array([text]))
+        at = np.arange(5)
+        rows = units.look_up(texts, at, at + 1, np.full(5, 7, np.uint64))
+        assert units.ids(rows).tolist() == list(text.encode())

@@ -1,4 +1,6 @@
-"""Training-data operators on inputs that a cap or a lost end tag would cut."""
+"""Training-data operators on inputs that a cap, a lost end tag or a long text would cut or stop."""
+
+import time
 
 from quillmark.llm import html, quality
 
@@ -19,3 +21,23 @@ def test_head_may_stay_open():
         page = f"<html><head><title>no</title><meta charset=utf-8>{start}Loose words here<article><p>The text.</p></article></html>"
         assert [b.text for b in html.blocks_of(page)] == ["Loose words here", "The text."]
     assert html.blocks_of("<head><noscript>no</noscript></head>") == []
+
+
+def test_hidden_elements_nest_and_end_at_blocks():
+    assert [b.text for b in html.blocks_of("<p>a <svg><svg><text>no</text></svg><title>no</title>no</svg>b</p>")] == ["a b"]
+    assert [b.text for b in html.blocks_of("<p>one <math><mi>x<p>two</p><div>three</div>")] == ["one", "two", "three"]
+    assert [b.text for b in html.blocks_of("<select><option>no<option>no</select><p>yes")] == ["yes"]
+
+
+def test_long_blocks_are_read_whole():
+    far = html.blocks_of("<p>" + "x" * 5000 + "&nbsp;cookie</p>")
+    assert "cue cookie" in html.describe(far)[0]
+
+
+def test_pages_that_never_close_are_scanned_once():
+    began = time.time()
+    assert [len(b.text) for b in html.blocks_of("<a " * 60_000)] == [3 * 60_000 - 1]
+    assert html.blocks_of("<b x=\"'\" '" * 20_000 + "<p>end") != []
+    assert len(html.describe(html.blocks_of("<div>w" * 8_000))) == 8_000
+    assert html.blocks_of("<svg>" * 20_000 + "</p>" * 10) == [] and html.blocks_of("<title>" * 20_000) == []
+    assert time.time() - began < 20
