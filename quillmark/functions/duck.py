@@ -34,7 +34,8 @@ def excerpt(x: str, most: int = 80) -> str:
 
 
 def stable_id(prefix: str, x: str) -> str:
-    folded = f"list_reduce(list_prepend({T.FNV_OFFSET}::BIGINT, list_transform(list_filter(string_split({x}, ''), lambda c: c <> ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c) * {T.FNV_PRIME}) % 4294967296)"
+    units = f"flatten(list_transform(list_filter(string_split({x}, ''), lambda c: c <> ''), lambda c: CASE WHEN unicode(c) < 65536 THEN [unicode(c)::BIGINT] ELSE [55296 + (unicode(c)::BIGINT - 65536) // 1024, 56320 + (unicode(c)::BIGINT - 65536) % 1024] END))"
+    folded = f"list_reduce(list_prepend({T.FNV_OFFSET}::BIGINT, {units}), lambda h, c: (xor(h, c) * {T.FNV_PRIME}) % 4294967296)"
     return f"('{prefix}_' || lower(to_base({folded}, 36)))"
 
 

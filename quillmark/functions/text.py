@@ -55,9 +55,14 @@ def excerpt(text: Column, most: int = 80) -> Column:
 
 
 def stable_id(prefix: str, text: Column) -> Column:
-    """``prefix_`` and the 32-bit FNV-1a hash of the characters in base 36."""
+    """``prefix_`` and the 32-bit FNV-1a hash of the UTF-16 units in base 36."""
+    def fold(h: Column, unit: Column) -> Column:
+        return h.bitwiseXOR(unit) * F.lit(FNV_PRIME) % F.lit(1 << 32)
+
     def step(h: Column, c: Column) -> Column:
-        return h.bitwiseXOR(F.ascii(c).cast("long")) * F.lit(FNV_PRIME) % F.lit(1 << 32)
+        point = F.ascii(c).cast("long")
+        high, low = F.shiftright(point - 0x10000, 10) + 0xD800, (point - 0x10000) % 1024 + 0xDC00
+        return F.when(point < 0x10000, fold(h, point)).otherwise(fold(fold(h, high), low))
 
     hashed = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(FNV_OFFSET).cast("long"), step)
     return F.concat(F.lit(prefix + "_"), F.lower(F.conv(hashed.cast("string"), 10, 36)))

@@ -19,7 +19,7 @@ SECTION_NAMES = {
     "publications": ["发表论文", "出版物", "论文", "publications", "research"],
     "languages": ["语言能力", "语言", "languages"],
 }
-DATE = r"(?i)(?:19|20)\d{2}(?:[./-]\d{1,2})?"
+DATE = r"(?i)(?:19|20)\d{2}(?:[./-]\d{1,2})?\s*(?:-|--|~|至|to)\s*(?:(?:19|20)\d{2}(?:[./-]\d{1,2})?|至今|现在|present|current)|(?:19|20)\d{2}(?:[./-]\d{1,2})?"
 # ------------------------------------------------------------------------------------------
 
 

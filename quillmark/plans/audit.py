@@ -130,10 +130,14 @@ _HEAD_SQL = f"([{', '.join(map(D.lit, _HEADS))}])[doc_id % {len(_HEADS)} + 1]"
 _KEY_SQL = f"regexp_replace(lower({D.normalize('t')}), '[{T.SPACE}:：|｜/\\\\\\-_]+', '', 'g')"
 
 
+_TITLES = ["Intern analyst", "Junior dev", "Senior engineer", "Team lead", "VP sales", "Clerk"]
+
+
 @query(f"""
-WITH l AS (SELECT doc_id, {_HEAD_SQL} AS t FROM documents), k AS (SELECT *, {_KEY_SQL} AS k FROM l)
-SELECT doc_id, CASE k {' '.join(f"WHEN {D.lit(n.replace(' ', ''))} THEN '{kind}'" for kind, names in lines.SECTION_NAMES.items() for n in names)} END AS section,
-  {profile.sql_role('t', '(doc_id % 50) / 50.0', '400 + doc_id % 4 * 100')} AS role, nullif(regexp_extract(t, '{lines.DATE}'), '') AS first_date, {profile.sql_seniority("(['Intern analyst', 'Junior dev', 'Senior engineer', 'Team lead', 'VP sales', 'Clerk'])[doc_id % 6 + 1]")} AS seniority FROM k
+WITH w AS (SELECT doc_id, regexp_split_to_array(coalesce(text, '') || chr(10) || {_HEAD_SQL} || chr(10) || ([{', '.join(map(D.lit, _TITLES))}])[doc_id % {len(_TITLES)} + 1], '\\r?\\n') AS ts FROM documents),
+l AS (SELECT doc_id, generate_subscripts(ts, 1) - 1 AS pos, unnest(ts) AS t FROM w), k AS (SELECT *, {_KEY_SQL} AS k FROM l)
+SELECT doc_id, pos, CASE k {' '.join(f"WHEN {D.lit(n.replace(' ', ''))} THEN '{kind}'" for kind, names in lines.SECTION_NAMES.items() for n in names)} END AS section,
+  {profile.sql_role('t', '(doc_id % 50) / 50.0', '400 + doc_id % 4 * 100')} AS role, nullif(regexp_extract(t, '{lines.DATE}'), '') AS first_date, {profile.sql_seniority(D.normalize('t'))} AS seniority FROM k
 """)
 def line_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Section, role, date and seniority of every line of every document.
@@ -142,7 +146,7 @@ def line_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     and a job title after it. Vertical place and weight are derived from doc_id.
     """
     pick = lambda xs: F.get(F.array(*map(F.lit, xs)), (F.col("doc_id") % len(xs)).cast("int"))
-    whole = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), pick(_HEADS), F.lit("\n"), pick(["Intern analyst", "Junior dev", "Senior engineer", "Team lead", "VP sales", "Clerk"]))
+    whole = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), pick(_HEADS), F.lit("\n"), pick(_TITLES))
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(whole, "\r?\n")).alias("pos", "t"))
     date = F.regexp_extract("t", lines.DATE, 0)
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), lines.section_type(F.col("t")).alias("section"), profile.role(F.col("t"), (F.col("doc_id") % 50) / 50.0, 400 + F.col("doc_id") % 4 * 100).alias("role"), F.when(date != "", date).alias("first_date"), profile.seniority(F.col("t")).alias("seniority"))

@@ -118,7 +118,7 @@ def answer_vs_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT conv_id, turn, len(w) AS n_before, coalesce(array_to_string(w, ' / '), '') AS context FROM (
-  SELECT conv_id, turn, list(role || ':' || left(text, 12)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS w FROM (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations))
+  SELECT conv_id, turn, list(role || ':' || text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS w FROM (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations))
 """)
 def chat_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn with the whole texts of the up to ten turns before it."""

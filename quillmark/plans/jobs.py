@@ -72,7 +72,7 @@ def keyword_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REQ = f"(SELECT id * 100 + pos AS id, id AS item_id, importance, {D.keywords('line')} AS words FROM {_REQUIREMENTS})"
-_REQ_PAIRS = f"(SELECT r.id AS left_id, d.id AS right_id, count(*) AS shared FROM (SELECT id, unnest(words) AS word FROM {_REQ}) r JOIN (SELECT * FROM {_DOC_WORDS} WHERE id % 7 = 3) d USING (word) GROUP BY ALL)"
+_REQ_PAIRS = f"(SELECT r.id AS left_id, d.id AS right_id, count(*) AS shared FROM (SELECT id, unnest(words) AS word FROM {_REQ}) r JOIN {_DOC_WORDS} d USING (word) GROUP BY ALL)"
 _STATUS = f"""(SELECT r.id, r.item_id, r.importance, coalesce(best, 0) AS best, CASE WHEN bad THEN 'conflict' WHEN best IS NULL THEN 'gap' WHEN best >= least(2, greatest(1, len(words))) THEN 'met' ELSE 'partial' END AS status
 FROM {_REQ} r LEFT JOIN (SELECT left_id, max(shared) AS best, bool_or(right_id % 91 = 3) AS bad FROM {_REQ_PAIRS} GROUP BY left_id) p ON p.left_id = r.id)"""
 
@@ -100,7 +100,7 @@ def job_match_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SCORED = f"""(SELECT d.doc_id, d.doc_id % 10 AS section, d.source, coalesce(score, 0.0) AS score, d.lang = 'es' AS pinned FROM documents d LEFT JOIN (
-  SELECT right_id, sum(importance * CASE status WHEN 'met' THEN 1.0 WHEN 'partial' THEN 0.6 ELSE 0.0 END * shared) AS score FROM {_REQ_PAIRS} p JOIN {_STATUS} s ON s.id = p.left_id WHERE s.item_id < 5 GROUP BY right_id) x ON x.right_id = d.doc_id)"""
+  SELECT right_id, sum(importance * CASE status WHEN 'met' THEN 1.0 WHEN 'partial' THEN 0.6 ELSE 0.0 END * shared) AS score FROM {_REQ_PAIRS} p JOIN {_STATUS} s ON s.id = p.left_id GROUP BY right_id) x ON x.right_id = d.doc_id)"""
 
 
 @query(f"""

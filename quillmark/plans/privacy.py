@@ -50,7 +50,7 @@ def prompt_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.instructions(_text(spark, sf_dir, _GUARD), "doc_id", "text")
 
 
-@query(f"SELECT conv_id, turn, text = trim(text) AS trimmed, {D.excerpt('text', 40)} AS excerpt, len(list_concat(" + ", ".join(f"regexp_extract_all(text, '(?i){p}')" for _, p in privacy.INSTRUCTIONS[:2]) + ")) > 0 AS suspicious FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)")
+@query(f"SELECT conv_id, turn, text = trim(text) AS trimmed, {D.excerpt('text', 40)} AS excerpt, len(list_concat(" + ", ".join(f"regexp_extract_all(text, '(?i){p}')" for _, p in privacy.INSTRUCTIONS) + ")) > 0 AS suspicious FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)")
 def conversation_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations with an excerpt and whether any instruction pattern fits them."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))

@@ -14,12 +14,13 @@ from quillmark.operators.history import LIMIT, WINDOW_MS
 DECISION = "key long, id long, at long, allowed boolean, remaining long, reset_at long"
 
 
-def limited(requests: DataFrame, limit: int = LIMIT, window_ms: int = WINDOW_MS) -> DataFrame:
+def limited(requests: DataFrame, limit: int = LIMIT, window_ms: int = WINDOW_MS, late_ms: int = WINDOW_MS) -> DataFrame:
     """Decisions on a stream of (key, id, at) requests; ``at`` in milliseconds.
 
     The state of a key is its window's end and count. Requests of one micro-batch are
-    taken in order of time and id; a key's state is dropped when its window has
-    been over for a window's length of processing time.
+    taken in order of time and id. Time is the requests' own: a key's state is dropped
+    once the watermark, ``late_ms`` behind the latest request, has passed its window's
+    end, and requests older than the watermark are left out.
     """
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -36,9 +37,11 @@ def limited(requests: DataFrame, limit: int = LIMIT, window_ms: int = WINDOW_MS)
                 out.append((key[0], id_, at, count <= limit, max(0, limit - count), reset))
             yield pd.DataFrame(out, columns=["key", "id", "at", "allowed", "remaining", "reset_at"])
         state.update((reset, count))
-        state.setTimeoutDuration(max(1, window_ms))
+        state.setTimeoutTimestamp(max(reset, state.getCurrentWatermarkMs()) + 1)
 
-    return requests.groupBy("key").applyInPandasWithState(decide, DECISION, "reset long, count long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    # One millisecond on, so that a request at the very start of time is not behind the first watermark.
+    timed = requests.withColumn("ts", F.timestamp_millis(F.col("at") + 1)).withWatermark("ts", f"{late_ms} milliseconds")
+    return timed.groupBy("key").applyInPandasWithState(decide, DECISION, "reset long, count long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def counted(requests: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
