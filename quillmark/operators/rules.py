@@ -88,7 +88,7 @@ def answers_differently(answer: Column, original: Column) -> Column:
 
 def next_follow_up(candidates: Column, asked: Column, most: Column) -> Column:
     """The first candidate with text that was not asked yet; null if none, or if ``most`` were asked."""
-    trimmed = F.transform(candidates, F.trim)
+    trimmed = F.transform(candidates, lambda x: F.trim(x))
     left = F.filter(trimmed, lambda x: x.isNotNull() & (x != "") & ~F.array_contains(asked, x))
     return F.when(F.size(asked) < most, F.try_element_at(left, F.lit(1)))
 

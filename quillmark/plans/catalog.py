@@ -24,5 +24,5 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-for _name in ("documents", "evidence", "jobs", "interview", "privacy", "review", "geometry", "audit", "events"):
+for _name in ("documents", "evidence", "jobs", "interview", "privacy", "review", "geometry", "audit", "events", "rules"):
     import_module(f"quillmark.plans.{_name}")
