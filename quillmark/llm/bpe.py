@@ -24,7 +24,23 @@ from quillmark.llm.units import UnitIds, gathered
 #: Matches in one DuckDB query, and matches remembered by a worker.
 CHUNK, REMEMBERED = 20_000, 500_000
 
-#: A round contracts every pair of a match that has its least rank, from the left; where that
+#: Matches of at most SHORT bytes: a round contracts one pair of each, and their few rounds are kept.
+SHORT = 48
+_ENCODE_SHORT = """
+WITH RECURSIVE word(w, tokens, n) AS (
+  SELECT w, list(t ORDER BY p), 0 FROM start GROUP BY w
+  UNION ALL
+  SELECT word.w, word.tokens[:best.p - 1] || [best.made] || word.tokens[best.p + 2:], n + 1
+  FROM word JOIN (
+    SELECT w, min((m.made::BIGINT << 32) | p) AS k, (k & 4294967295)::INTEGER AS p, (k >> 32)::INTEGER AS made
+    FROM (SELECT w, unnest(tokens) AS l, unnest(tokens[2:]) AS r, unnest(range(1, len(tokens) + 1)) AS p FROM word) pair
+    JOIN merges m ON m.l = pair.l AND m.r = pair.r
+    GROUP BY w
+  ) best ON best.w = word.w
+)
+SELECT w, tokens AS ids FROM word QUALIFY n = max(n) OVER (PARTITION BY w) ORDER BY w
+"""
+#: Longer ones: a round contracts every pair of a match that has its least rank, from the left; where that
 #: could make a pair of lower rank, only those that stand further from the one before than any
 #: token reaches. USING KEY keeps each match's last round alone.
 _ENCODE = """
@@ -102,15 +118,18 @@ class Codec:
             whole = np.fromiter((self.ranks.get(x, -1) for x in raw), np.int32, len(raw))
             merged = np.flatnonzero(whole < 0)  # a match that is a token is that token
             count = np.ones(len(raw), np.int64)
-            made = np.zeros(0, np.int32)
-            if len(merged):
-                own = [raw[j] for j in merged]
-                self._rows("start", self.byte[np.frombuffer(b"".join(own), np.uint8)], np.fromiter(map(len, own), np.int64, len(own)))
-                found = self.db.execute(_ENCODE).to_arrow_table().column("ids").combine_chunks()
-                made, count[merged] = found.flatten().to_numpy(), np.diff(np.asarray(found.offsets))
+            length = np.fromiter(map(len, raw), np.int64, len(raw))
+            made = []
+            for query, own in ((_ENCODE_SHORT, merged[length[merged] <= SHORT]), (_ENCODE, merged[length[merged] > SHORT])):
+                if len(own):
+                    self._rows("start", self.byte[np.frombuffer(b"".join(raw[j] for j in own), np.uint8)], length[own])
+                    found = self.db.execute(query).to_arrow_table().column("ids").combine_chunks()
+                    count[own] = np.diff(np.asarray(found.offsets))
+                    made.append((own, found.flatten().to_numpy()))
             ids = np.empty(int(count.sum()), np.int32)
-            split = np.repeat(whole < 0, count)
-            ids[split], ids[~split] = made, whole[whole >= 0]
+            ids[np.repeat(whole >= 0, count)] = whole[whole >= 0]
+            for own, tokens in made:
+                ids[np.repeat(np.isin(np.arange(len(raw)), own), count)] = tokens
             self._rows("given", ids, count)
             back = self.db.execute(_DECODE).to_arrow_table().column("piece").combine_chunks().cast(pa.large_binary())
             _, at, data = back.buffers()
