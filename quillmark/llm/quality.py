@@ -30,8 +30,6 @@ BINS = 200
 RISK, CONFIDENCE = 0.05, 0.95
 #: Bad texts that must be caught for each good one that is lost.
 COST = 10
-#: How many strata the SQL of op7_quality looks at; the operator has cutoffs for all.
-STRATA = 64
 
 
 def counts_of(column: pa.Array) -> dict[str, np.ndarray]:

@@ -149,7 +149,7 @@ s AS (
   FROM b
 ), l AS (SELECT doc_id, min(quality) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 c AS (SELECT stratum, rule, score, count(*) FILTER (good <> 0) AS g, count(*) FILTER (good = 0) AS bad FROM s JOIN l USING (doc_id) WHERE NOT base_failed GROUP BY ALL),
-top AS (SELECT stratum FROM c GROUP BY stratum ORDER BY sum(g + bad) DESC, stratum LIMIT {quality.STRATA}),
+top AS (SELECT DISTINCT stratum FROM c),
 k AS (SELECT stratum, rule, score, sum(g) OVER (PARTITION BY stratum, rule)::BIGINT AS n, sum(g) OVER o AS e, sum(bad) OVER o - {quality.COST} * sum(g) OVER o AS worth FROM c JOIN top USING (stratum) WINDOW o AS (PARTITION BY stratum, rule ORDER BY score DESC)),
 cut AS (
   SELECT stratum, rule, score AS least_score FROM k
