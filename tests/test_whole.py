@@ -89,7 +89,7 @@ def test_line_profile_reads_every_line(spark, made):
     assert [got[4, i]["section"] for i in range(4)] == ["education", None, None, None]
     assert got[4, 1]["first_date"] == "2019.07" and got[4, 1]["seniority"] == "senior"
     assert [got[4, i]["role"] for i in (2, 3, 4)] == ["contact", "paragraph", "paragraph"]
-    assert len(got) == 9 and got[4, 4]["first_date"] == "2020.04" and got[4, 5]["seniority"] == "executive"
+    assert len(got) == 9 and got[4, 4]["first_date"] == "2020.04 - 2021.05" and got[4, 5]["seniority"] == "executive"
 
 
 def test_conversation_guard_applies_every_pattern(spark, made):
@@ -97,3 +97,17 @@ def test_conversation_guard_applies_every_pattern(spark, made):
     at = made(conversations=([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string"))
     got = {r["turn"]: r["suspicious"] for r in catalog.QUERIES["conversation_guard"](spark, at).collect()}
     assert got == {0: True, 1: True, 2: True, 3: False}
+
+
+def test_ranges_ids_and_unsound_characters(spark):
+    """Values worked out by hand: spans up to now, ids over UTF-16 units, labels by code point."""
+    from pyspark.sql import functions as F
+
+    from quillmark.functions import text as T
+    from quillmark.operators import lines, safety
+
+    rows = spark.createDataFrame([("2019/3 至 至今 x",), ("2018 to present",), ("in 2017",), ("none",)], "t string")
+    assert [r[0] for r in rows.select(F.regexp_extract("t", lines.DATE, 0)).collect()] == ["2019/3 至 至今", "2018 to present", "2017", ""]
+    assert spark.range(1).select(T.stable_id("x", F.lit("😀"))).first()[0] == "x_1kdnhdk"
+    found = safety.unsafe_characters(spark.createDataFrame([(1, "a\t\ufe0f□😀\ufffc")], "id long, t string"), "id", "t").collect()
+    assert {r["code_point"]: r["label"] for r in found} == {0xFE0F: "不可见格式字符", 0x25A1: "占位方框", 0x1F600: "表情或图标字符", 0xFFFC: "无效替代字符"}
