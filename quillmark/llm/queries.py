@@ -187,7 +187,7 @@ x AS (SELECT row_number() OVER (ORDER BY md5(url)) - 1 AS k, count(*) OVER () AS
 fit(n, w) AS (
   SELECT 0::BIGINT, list_transform(range({urlfilter.BUCKETS + 1}), lambda i: 0::DOUBLE)
   UNION ALL
-  SELECT n + 1, list_transform(w, lambda v, i: v * (1 - {urlfilter.RATE} * {urlfilter.DECAY})::DOUBLE + CASE WHEN i = {urlfilter.BUCKETS + 1} THEN slope WHEN list_contains(own, i - 1) THEN slope / sqrt(len(own)) ELSE 0 END)
+  SELECT n + 1, list_transform(w, lambda v, i: v * (1 - {urlfilter.RATE} * {urlfilter.DECAY})::DOUBLE + CASE WHEN i = {urlfilter.BUCKETS + 1} THEN {urlfilter.BIAS_STEP} * slope WHEN list_contains(own, i - 1) THEN slope / sqrt(len(own)) ELSE 0 END)
   FROM (SELECT n, w, own, {urlfilter.RATE}::DOUBLE * (y - 1 / (1 + exp(-({_MARGIN})))) AS slope FROM fit JOIN x ON x.k = n % many WHERE n < {urlfilter.EPOCHS} * many)
 ), model AS (SELECT w FROM fit ORDER BY n DESC LIMIT 1),
 p AS (SELECT page_id, {_sql_parts("coalesce(url, '')")} FROM pages)
