@@ -6,16 +6,16 @@ block at an archive's start says which. The converter walks an archive by the
 declared lengths alone, so a payload may hold anything, header lines included.
 
 WARC archives are written with Spark's text writer, whose line separator is the
-empty line pair that ends a record, and are read with the binary-file source; both
-work on any file system that Spark knows.
+empty line pair that ends a record, and are read as streams with the text source;
+both work on any file system that Spark knows. No task ever holds a whole archive:
+writing starts a new one after so many records, reading holds one record and a batch.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -28,6 +28,8 @@ END = "\r\n\r\n"
 #: Equal payloads below this many bytes are stored again rather than referred to.
 LEAST = 1000
 SALTS = 16
+#: An archive ends after so many records.
+RECORDS = 20_000
 _NAMESPACE = uuid.UUID("6f1d3c52-6a52-5d0c-9d53-8c3a2f0b7e11")
 _FIELDS = {1: ("url", "ip", "date", "mime", "length"), 2: ("url", "ip", "date", "mime", "status", "checksum", "location", "offset", "filename", "length")}
 
@@ -116,22 +118,36 @@ def warc_record(arc: ArcRecord, key: int, refers_to: int | None) -> str:
     return "\r\n".join(head) + END + body
 
 
-def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, block) of each record of a WARC archive, by Content-Length."""
-    at, mark = 0, END.encode()
-    while at < len(data):
-        end = data.find(mark, at)
-        if end < 0:
-            raise ValueError(f"no header end after byte {at}")
-        lines = data[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = dict(x.split(": ", 1) for x in lines[1:])
-        stop = end + 4 + int(head["Content-Length"])
-        if data[stop : stop + 4] != mark:
-            raise ValueError(f"record at byte {at} does not end where it says")
-        yield head, data[end + 4 : stop]
-        at = stop + 4
+def warc_records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields, block) of each record of WARC archives read one after the other, by Content-Length.
+
+    ``pieces`` are the bytes between empty line pairs, wherever those stand; put
+    together again they are the archives, of which one record is held at a time.
+    """
+    mark, source, held = END.encode(), iter(pieces), bytearray()
+
+    def until(size: int) -> None:
+        while len(held) < size:
+            if (piece := next(source, None)) is None:
+                raise ValueError("the last record is cut short")
+            held.extend(piece + mark)
+
+    for piece in source:
+        held += piece + mark
+        while start := held.lstrip(b"\r\n"):  # a block that ends in a line end leaves one at the archive's end
+            held = start
+            end = held.find(mark)
+            lines = held[: max(end, 0)].decode().split("\r\n")
+            if not lines[0].startswith("WARC/"):
+                raise ValueError(f"no WARC record at {bytes(held[:80])!r}")
+            head = dict(x.split(": ", 1) for x in lines[1:])
+            stop = end + 4 + int(head["Content-Length"])
+            until(stop + 4)
+            if held[stop : stop + 4] != mark:
+                raise ValueError(f"record {head.get('WARC-Record-ID')} does not end where it says")
+            yield head, bytes(held[end + 4 : stop])
+            del held[: stop + 4]
+        held.clear()
 
 
 def archived(pages: DataFrame, key: str, url: str, payload: str, least: int = LEAST) -> DataFrame:
@@ -166,26 +182,25 @@ def archived(pages: DataFrame, key: str, url: str, payload: str, least: int = LE
             yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
 
     path = store.scratch(pages.sparkSession, "warc")
-    ready.mapInArrow(convert, "value string").write.option("lineSep", END).option("compression", "gzip").text(path)
+    ready.mapInArrow(convert, "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0):
-                rows, held = [], 0
-                for head, block in warc_records(gzip.decompress(data.as_py())):
-                    whole = head["WARC-Type"] == "response"
-                    refers = head.get("WARC-Refers-To")
-                    rows.append((record_key(head["WARC-Record-ID"]), head["WARC-Target-URI"], int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"], refers and record_key(refers), block.decode() if whole else None))
-                    held += len(block)
-                    if whole and hashlib.sha1(block).hexdigest() != rows[-1][3]:
-                        raise ValueError(f"digest of {rows[-1][0]} does not fit its payload")
-                    if held > 8 << 20:
-                        yield _rows(rows)
-                        rows, held = [], 0
+        rows, held = [], 0
+        for head, block in warc_records(x.as_py() for batch in batches for x in batch.column(0)):
+            whole = head["WARC-Type"] == "response"
+            refers = head.get("WARC-Refers-To")
+            rows.append((record_key(head["WARC-Record-ID"]), head["WARC-Target-URI"], int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"], refers and record_key(refers), block.decode() if whole else None))
+            held += len(block)
+            if whole and hashlib.sha1(block).hexdigest() != rows[-1][3]:
+                raise ValueError(f"digest of {rows[-1][0]} does not fit its payload")
+            if held > 8 << 20 or len(rows) >= 8192:
                 yield _rows(rows)
+                rows, held = [], 0
+        yield _rows(rows)
 
-    files = pages.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path)
-    return files.select("content").mapInArrow(parse, "key long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string")
+    # Compressed text is never split, so a task reads whole archives, in order.
+    lines = pages.sparkSession.read.option("lineSep", END).text(path).select(F.col("value").cast("binary"))
+    return lines.mapInArrow(parse, "key long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
