@@ -3,12 +3,12 @@
 import base64
 import hashlib
 import itertools
+import math
 import random
 import re
 
-
 import numpy as np
-
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +16,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 import __spark_entry__  # noqa: E402
 from quillmark.llm import bpe, hmm, html, jaccard, packing, quality, topk, toxicity, urlfilter, warc  # noqa: E402
+from quillmark.llm.text import LETTERS_ONLY, Texts, mix  # noqa: E402
 
 from tests.compare import same  # noqa: E402
 
@@ -154,6 +155,58 @@ def test_toxicity_without_labels(spark):
     assert toxicity.scored(docs(spark, ["a", None]), model).agg(F.min("score")).first()[0] == 0.5
 
 
+def _toxic_features(text):
+    """The hashed features of one text, word by word."""
+    mask, wrap = (1 << toxicity.BITS) - 1, (1 << 64) - 1
+
+    def mixed(x):
+        return int(mix(np.array([x & wrap], np.uint64))[0])
+
+    def of(word):
+        return int(Texts(pa.array([word])).words(lower=True, between=LETTERS_ONLY).hashes[0])
+
+    words = [w.lower() for w in re.findall(r"[A-Za-z]+", text)]
+    found = {mixed(of(w) + 11) & mask for w in words}
+    for size in toxicity.STEMS:
+        found |= {mixed(of(w[:size]) + 100 + size) & mask for w in words if len(w) > size}
+    for gap, salt in ((1, 13), (2, 17)):
+        found |= {mixed(mixed(of(a) + salt) * 3 + of(b)) & mask for a, b in zip(words, words[gap:])}
+    return found
+
+
+def test_toxicity_against_a_plain_loop(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("the of and in to red blue treehouse Tree, wonderful".split(), k=rng.choice([1, 9, 30])) + ["vile insult"] * (i % 3 == 0)) for i in range(60)]
+    labels = [(i, int(i % 3 == 0)) for i in range(50)]
+    w, n, z, bias = {}, {}, {}, 1 << toxicity.BITS
+
+    def weight(i):
+        zi, l1 = z.get(i, 0.0), 0.0 if i == bias else toxicity.L1
+        if abs(zi) <= l1:
+            return 0.0
+        return -(zi - math.copysign(l1, zi)) / ((toxicity.BETA + math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA + toxicity.L2)
+
+    rows = sorted((str(k), y) for k, y in labels)
+    order = np.random.RandomState(5)
+    for _ in range(toxicity.EPOCHS):
+        for at in order.permutation(len(rows)):
+            own = [*_toxic_features(texts[int(rows[at][0])]), bias]
+            now = {i: weight(i) for i in own}
+            slope = 1 / (1 + math.exp(-sum(now.values()))) - rows[at][1]
+            if abs(slope) < 1e-3:
+                continue
+            for i in own:
+                step = (math.sqrt(n.get(i, 0.0) + slope**2) - math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA
+                z[i], n[i] = z.get(i, 0.0) + slope - step * now[i], n.get(i, 0.0) + slope**2
+    w = {i: weight(i) for i in z}
+    df = docs(spark, texts)
+    model = toxicity.trained(df, spark.createDataFrame(labels, "doc_id long, toxic int"), "toxic")
+    assert dict(zip(model[0].tolist(), model[1].tolist())) == pytest.approx({i: x for i, x in w.items() if x})
+    for r in toxicity.scored(df, model).collect():
+        margin = sum(w.get(i, 0.0) for i in _toxic_features(texts[r["doc_id"]])) + w[bias]
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-margin)))
+
+
 # --- 3: urls -------------------------------------------------------------------------------
 
 
@@ -181,6 +234,17 @@ def test_url_model_tells_its_classes(spark):
     assert not any("Python" in line or "Arrow" in line for line in urlfilter.judged(spark.createDataFrame(urls, "url string, want string"), "url", weights)._jdf.queryExecution().executedPlan().toString().split("\n"))
 
 
+def test_url_model_on_hosts_it_has_not_seen(spark):
+    def host(url):
+        return url.split("//")[1].split("/")[0]
+
+    known = {host(url) for url, _ in urlfilter.LABELLED}
+    fresh = [(url, y) for url, y in urlfilter.examples(2, 300) if host(url) not in known]
+    got = urlfilter.judged(spark.createDataFrame(fresh, "url string, y int"), "url", urlfilter.trained(urlfilter.labelled_table(spark))).where("rule IS NULL").select("y", (F.col("score") >= 0.5).cast("int").alias("said")).collect()
+    assert sum(r["y"] == r["said"] for r in got) / len(got) >= 0.9
+    assert sum(r["said"] for r in got if not r["y"]) / sum(not r["y"] for r in got) <= 0.02
+
+
 # --- 4: html -------------------------------------------------------------------------------
 
 
@@ -388,6 +452,26 @@ def test_archive_round_trip(spark):
             assert got[k]["record_type"] == "revisit" or got[k]["payload"] == (text or "")
 
 
+def test_archives_are_read_as_streams(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RECORDS", 3)
+    ends = ["", "\r", "\n", "\r\n", "\r\n\r", "\r\n\r\n", "\r\n\r\n\r\n", "\r\r\n\r\n", "\r\n\r\r\n\r\n"]
+    texts = [start + body + end for start in ends for body in ("", "x", "y" * 70_000) for end in ends] + ["z" * 65_000 + "\r\n\r" * 2_000 + "\r\n\r\n" * 2_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "page_id long, html string").withColumn("url", F.lit("u")).repartition(3)
+    got = {r["key"]: r for r in warc.archived(df, "page_id", "url", "html").collect()}
+    assert len(got) == len(texts)
+    for k, text in enumerate(texts):
+        assert got[k]["payload_digest"] == hashlib.sha1(text.encode()).hexdigest()
+        assert (got[k]["payload"] == text) if got[k]["record_type"] == "response" else (texts[got[k]["refers_to"]] == text)
+
+
+def test_bad_warc_is_told():
+    whole = [b"WARC/1.1\r\nContent-Length: 6", b"a", b"b"]
+    assert list(warc.warc_records(whole)) == [({"Content-Length": "6"}, b"a\r\n\r\nb")]
+    for bad in ([b"WARC/1.1\r\nContent-Length: 60", b"a"], [b"WARC/1.1\r\nContent-Length: 3", b"a", b"b"], [b"HTTP/1.1"]):
+        with pytest.raises(ValueError):
+            list(warc.warc_records(bad))
+
+
 # --- 10: top k -----------------------------------------------------------------------------
 
 
