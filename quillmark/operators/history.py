@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Fixed values ------------------------------------------------------------------------------
 WINDOW_MS, LIMIT = 3_600_000, 10
@@ -16,24 +21,33 @@ def limited(events: DataFrame, limit: int = LIMIT, window_ms: int = WINDOW_MS) -
     """(key, id, at, allowed, remaining, reset_at) of (key, id, at) requests.
 
     A window opens with the first request at or after the last one's end, so it
-    depends on all requests before: one fold over each key's times. Requests of a
-    key at one time are folded once, as a count. For keys without bound use the
-    stream form, which keeps two numbers for each key.
+    depends on all requests before: one pass over each key's requests in order of
+    time and id, which keeps the window's end and count between batches and jumps
+    from one window's opening to the next.
     """
-    times = events.groupBy("key", "at").agg(F.count("*").alias("n"))
-    rows = times.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("t"))
-    zero = F.struct(F.lit(0).cast("long").alias("reset"), F.lit(0).cast("long").alias("count"), F.array().cast("array<struct<at:bigint,reset:bigint,before:bigint>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        fresh = s["reset"] <= x["at"]
-        reset = F.when(fresh, x["at"] + window_ms).otherwise(s["reset"])
-        before = F.when(fresh, F.lit(0).cast("long")).otherwise(s["count"])
-        return F.struct(reset.alias("reset"), (before + x["n"]).alias("count"), F.array_append(s["out"], F.struct(x["at"].alias("at"), reset.alias("reset"), before.alias("before"))).alias("out"))
-
-    states = rows.select("key", F.inline(F.aggregate("t", zero, step, lambda s: s["out"])))
-    place = F.row_number().over(Window.partitionBy("key", "at").orderBy("id"))
-    joined = events.withColumn("place", place).join(states, ["key", "at"]).withColumn("count", F.col("before") + F.col("place"))
-    return joined.select("key", "id", "at", (F.col("count") <= limit).alias("allowed"), F.greatest(F.lit(0).cast("long"), limit - F.col("count")).alias("remaining"), F.col("reset").alias("reset_at"))
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, reset, count = None, 0, 0
+        for batch in batches:
+            key, at = batch["key"].to_numpy(zero_copy_only=False), batch["at"].to_numpy()
+            resets, counts = np.empty(len(at), dtype=np.int64), np.empty(len(at), dtype=np.int64)
+            ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)) if len(key) else []
+            i = 0
+            for end in ends:
+                if last is None or key[i] != last:
+                    last, reset, count = key[i], at[i], 0
+                while i < end:
+                    if reset <= at[i]:
+                        reset, count = at[i] + window_ms, 0
+                    to = i + int(np.searchsorted(at[i:end], reset))
+                    resets[i:to], counts[i:to] = reset, np.arange(count + 1, count + 1 + to - i)
+                    count += to - i
+                    i = to
+            left = pa.array(np.maximum(0, limit - counts))
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["id"], batch["at"], pa.array(counts <= limit), left, pa.array(resets)], decision.names)
+
+    decision = StructType([*events.select("key", "id", "at").schema.fields]).add("allowed", "boolean").add("remaining", "long").add("reset_at", "long")
+    rows = events.select("key", "id", "at").where("key is not null and at is not null").repartition("key").sortWithinPartitions("key", "at", "id")
+    return rows.mapInArrow(decide, decision)
 
 
 def combined(a: DataFrame, b: DataFrame) -> DataFrame:
